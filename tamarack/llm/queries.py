@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import near_dup, sharding, suffix_dedup
+from tamarack.llm import near_dup, packing, sharding, suffix_dedup
+
+#: Vocabulary files are parameters; these are the public ones that the environment offers.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +24,14 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_suffix_array_dedup, op5_byte_shards)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards)}
 ORACLES: dict[str, str] = {}
