@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import near_dup, packing, sharding, suffix_dedup
+from tamarack.llm import near_dup, packing, quality, secret_scan, sharding, suffix_dedup
 
 #: Vocabulary files are parameters; these are the public ones that the environment offers.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -33,5 +33,13 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards, op8_quality_classifier, op9_secret_scan)}
 ORACLES: dict[str, str] = {}
