@@ -10,7 +10,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +39,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bundled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and all columns as they are in one struct named row, so that no name can clash."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+
+
+def unbundled(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the struct named row, with some replaced."""
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def utf8_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, end to end, and where each begins (with the end of the last); null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -223,3 +223,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # an id with several texts joins their classes
     lone = sets.join(in_class, ["h1", "h2"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class_label")), F.col("id"))))
     return lone.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their component; of rows with one id, one.
+
+    Rows with a null id stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col).where(f"kept and `{id_col}` is not null").select(F.col(id_col).alias("kept_id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("kept_id"))
+    # dealt by id already for the join
+    first = rows.join(kept, "kept_id").dropDuplicates(["kept_id"]).select("row")
+    return first.union(rows.where("kept_id is null").select("row")).select("row.*")

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import SYMBOLS, durable, prefix_hashes, range_hashes, slices, utf8_view
+from tamarack.llm.common import SYMBOLS, bundled, durable, prefix_hashes, range_hashes, slices, unbundled, utf8_view
 
 #: Cosines, inverse kernel width, ridge weight, cells of the calibration, and labelled rows used at most (more are
 #: sampled by hash; counts and statistics of documents always cover all rows).
@@ -161,6 +161,18 @@ def fit(measured: DataFrame, labels: DataFrame) -> Scorer:
     return scorer
 
 
+def _held_out(id_: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[Scorer, DataFrame]:
+    """The scorer and the statistics of all rows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    measured = durable(rows.mapInArrow(_measure, "id long, x array<double>"))
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(~_held_out(F.col("id")))
+    return fit(measured, known), measured
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """For each row: id, held_out, score (0 to 1, higher for label 1), predicted (1 from CUT on).
 
@@ -168,11 +180,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts get equal scores, a null text is empty. Null or conflicting labels: null ones are left out, of several for
     one id all count. Without labels every score is 0.5. A null id is not held out. No rows give no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    measured = durable(rows.mapInArrow(_measure, "id long, x array<double>"))
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out)
-    scorer = fit(measured, known)
+    held_out = _held_out(F.col("id"))
+    scorer, measured = _fitted(docs, labels, id_col, text_col, label_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,3 +189,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     out = measured.mapInArrow(score, "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs, with all their columns, that score CUT or more."""
+    scorer, _ = _fitted(docs, labels, id_col, text_col, label_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8_view(batch.column("text"))
+            x = [statistics(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, 1 << 19)]
+            good = scorer(np.concatenate(x)) >= CUT if x else np.zeros(0, bool)
+            yield batch.filter(pa.array(good))
+
+    rows = bundled(docs, id_col, text_col)
+    return unbundled(rows.mapInArrow(keep, rows.schema), docs.columns)

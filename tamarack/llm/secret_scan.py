@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.llm.common import bundled, unbundled
+
 #: Fixed patterns, with what a match must have to count.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -266,26 +268,32 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stay null, other columns are not looked at, no rows give no rows.
     """
     network = network or trained_network(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(network), f"{id_col} long, text string, {_DDL}")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_scan(network), f"id long, text string, {_DDL}").withColumnRenamed("id", id_col)
+
 
+def _cut(text: str | None, starts: list[int], ends: list[int], mark: str) -> str | None:
+    """The text with spans replaced by the mark, spans that overlap by one."""
+    if not starts:
+        return text
+    parts, at = [], -1
+    for a, b in zip(starts, ends):
+        if a >= at:
+            parts += [text[max(0, at) : a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
 
-def redacted(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The scanned rows with every span of their text replaced by the mark (overlapping spans by one)."""
+
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", network: Network | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of docs with all their columns, every span in their text replaced by the mark; null stays null."""
+    scan = _scan(network or trained_network(docs, id_col, text_col))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "span_starts", "span_ends"))):
-                if starts:
-                    parts, at = [], 0
-                    for a, b in zip(starts, ends):
-                        if a >= at:
-                            parts += [t[at:a], mark]
-                        at = max(at, b)
-                    t = "".join([*parts, t[at:]])
-                out.append(t)
-            where = batch.schema.names.index("text")
-            yield batch.set_column(where, batch.schema.field(where), pa.array(out, batch.schema.field(where).type))
-
-    return scanned.mapInArrow(cut, scanned.schema)
+        for batch in scan(batches):
+            out = [_cut(t, a, b, mark) for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("text", "span_starts", "span_ends")))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "clean"])
+
+    rows = bundled(docs, id_col, text_col)
+    slim = rows.withColumn("row", F.col("row").dropFields(text_col)) if len(docs.columns) > 1 else rows
+    out = slim.select("row", "text").mapInArrow(cut, f"row {slim.schema['row'].dataType.simpleString()}, clean string")
+    return unbundled(out, docs.columns, **{text_col: F.col("clean")})

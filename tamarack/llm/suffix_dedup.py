@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.llm.common import M1, M2, durable, mix64, prefix_hashes, range_hashes, slices, utf8_view
+from tamarack.llm.common import M1, M2, bundled, durable, mix64, prefix_hashes, range_hashes, slices, unbundled, utf8_view
 
 LENGTH, GRAM = 100, 16
 #: Bytes of text that are worked on at once; anchors are marked in 24 bits.
@@ -290,7 +290,7 @@ def spans_of(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = utf8_view(batch.column("text"))
-        out = {x: [] for x in ("n_bytes", "n_removed", "span_starts", "span_ends", "kept_sha256", "kept")}
+        out = {x: [] for x in ("n_bytes", "n_removed", "span_starts", "span_ends", "kept_sha256", "kept", "kept_text")}
         for a, b, found in zip(offsets, offsets[1:], batch.column("found")):
             text = raw[a:b]
             starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -302,10 +302,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(text[at:p].tobytes())
                 at = q
             kept = b"".join([*kept, text[at:].tobytes()])
-            for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(kept)), ("span_starts", starts.tolist()), ("span_ends", ends.tolist()), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
+            for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(kept)), ("span_starts", starts.tolist()), ("span_ends", ends.tolist()), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept), ("kept_text", kept.decode("utf-8", "ignore"))):
                 out[k].append(v)
-        kinds = {"span_starts": pa.list_(pa.int64()), "span_ends": pa.list_(pa.int64()), "kept": pa.binary(), "kept_sha256": pa.string()}
-        yield pa.RecordBatch.from_arrays([batch.column("row_id"), *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]], ["row_id", *out])
+        kinds = {"span_starts": pa.list_(pa.int64()), "span_ends": pa.list_(pa.int64()), "kept": pa.binary(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]], ["row", *out])
 
 
 def _overfull(rows: DataFrame) -> np.ndarray:
@@ -323,16 +323,10 @@ def _overfull(rows: DataFrame) -> np.ndarray:
     return np.array([x[0] for x in found.where(F.col("contexts") >= most).select("h").collect()], np.int64).view(np.uint64)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """For each row: id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends and kept (the bytes left).
-
-    Texts are UTF-8 bytes; a null text is empty and loses nothing. Rows are ordered by id, rows of one id by their
-    text's hash and then in any order (of repeated rows the first keeps its bytes), null ids last. Texts shorter than
-    LENGTH are never touched but nothing in them counts as a source either, as matches don't cross texts. ``kept`` may
-    end inside a character. Other columns are not looked at. An empty table gives no rows.
-    """
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, buckets: int | None) -> DataFrame:
+    """Each row as a struct, with what remove_repeats returns."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bundled(docs, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(2**63 - 1)))
     if rows.groupBy("id").count().where("count > 1").isEmpty():
         rows = rows.withColumn("ord", F.lit(0))
     else:
@@ -346,6 +340,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     factors = contexts.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(_factors, "id long, ord int, s long, n int")
     gone = settled.where("key is null").select("id", "ord", "s", "n").union(factors)
     gone = gone.groupBy("id", "ord").agg(F.collect_list(F.struct("s", "n")).alias("found"))
-    cut = rows.join(gone, ["id", "ord"], "left").select("row_id", "text", "found")
-    out = cut.mapInArrow(_cut, "row_id long, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string, kept binary")
-    return out.select(F.col("row_id").alias(id_col), "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256", "span_starts", "span_ends", "kept")
+    # the text once only: in the struct there are the other columns
+    slim = rows.withColumn("row", F.col("row").dropFields(text_col)) if len(docs.columns) > 1 else rows
+    cut = slim.join(gone, ["id", "ord"], "left").select("row", "text", "found")
+    kinds = cut.schema["row"].dataType.simpleString()
+    return cut.mapInArrow(_cut, f"row {kinds}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string, kept binary, kept_text string")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """For each row: id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends and kept (the bytes left).
+
+    Texts are UTF-8 bytes; a null text is empty and loses nothing. Rows are ordered by id, rows of one id by their
+    text's hash and then in any order (of repeated rows the first keeps its bytes), null ids last. Texts shorter than
+    LENGTH are never touched and give no source either, as matches don't cross texts. ``kept`` may end inside a
+    character. Other columns are not looked at. An empty table gives no rows.
+    """
+    out = _without_repeats(docs.select(id_col, text_col), id_col, text_col, buckets)
+    return out.select(F.col("row").getField(id_col).cast("long").alias(id_col), "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256", "span_starts", "span_ends", "kept")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """The rows of docs with all their columns and the bytes left as text (a character that was cut goes as a whole)."""
+    out = _without_repeats(docs, id_col, text_col, buckets)
+    return unbundled(out, docs.columns, **{text_col: F.col("kept_text")})
