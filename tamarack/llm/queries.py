@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import near_dup, packing, quality, secret_scan, sharding, suffix_dedup
+from tamarack.llm import cross_polytope, near_dup, packing, quality, secret_scan, sharding, suffix_dedup, va_topk
 
 #: Vocabulary files are parameters; these are the public ones that the environment offers.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return cross_polytope.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,5 +46,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards, op8_quality_classifier, op9_secret_scan)}
-ORACLES: dict[str, str] = {}
+def op10_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return va_topk.top_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_polytope_ann, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards, op8_quality_classifier, op9_secret_scan, op10_va_file_topk)}
+ORACLES: dict[str, str] = {
+    "op10_va_file_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::BIGINT AS score
+              FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.w) = len(q.w) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
