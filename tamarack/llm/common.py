@@ -126,3 +126,72 @@ def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     """A hash of each values[start:end], whatever its place."""
     _, down = POWERS.to(len(prefix))
     return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * M1)
+
+
+class OpenTable:
+    """Numbers by 64-bit hash, with open addressing; looked up and filled for whole arrays at once."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.hash, self.at, self.used = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it is not known."""
+        most = len(self.at) - 1
+        slot = (h & np.uint64(most)).astype(np.int64)
+        at = self.at[slot]
+        open_ = np.flatnonzero((at >= 0) & (self.hash[slot] != h))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & most
+            at[open_] = self.at[slot[open_]]
+            open_ = open_[(at[open_] >= 0) & (self.hash[slot[open_]] != h[open_])]
+        return at
+
+    def put(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Adds hashes that are not there, each once."""
+        if 2 * (self.used + len(h)) > len(self.at):
+            full = self.at >= 0
+            old = self.hash[full], self.at[full]
+            slots = len(self.at)
+            while 2 * (self.used + len(h)) > slots:
+                slots *= 2
+            self.__init__(slots)
+            self.put(*old)
+        self.used += len(h)
+        most = len(self.at) - 1
+        slot = (h & np.uint64(most)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.at[slot[left]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.hash[slot[placed]], self.at[slot[placed]] = h[placed], number[placed]
+            left = np.setdiff1d(left, placed, assume_unique=True)
+            slot[left] = (slot[left] + 1) & most
+
+
+class Remembered:
+    """Arrays of ids by number, found by hash."""
+
+    def __init__(self) -> None:
+        self.table, self.known, self.used = OpenTable(), 0, 0
+        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """ids: those of all new ones, end to end."""
+        k, n, total = self.known, len(sizes), len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + total] = ids
+        self.size[k : k + n] = sizes
+        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.known += n
+        self.table.put(h, np.arange(k, k + n, dtype=np.int32))
+
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers end to end, and where each ends (with 0 before)."""
+        sizes = self.size[at]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.start[at] - stops[:-1], sizes) + np.arange(int(stops[-1]))], stops

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import SYMBOLS, prefix_hashes, range_hashes, slices, utf8_view
+from tamarack.llm.common import SYMBOLS, Remembered, prefix_hashes, range_hashes, slices, utf8_view
 
 TOKENS, SEGMENTS = 4096, 256
 END_ID = 2
@@ -53,41 +53,12 @@ class PieceTokenizer:
     depends on neighbours are split at blanks only, and their words go through the whole tokenizer.
     """
 
-    SLOTS = 1 << 22
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = dict(enumerate(_byte_letters()))
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot_hash, self.slot_at = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int32)
-        self.known, self.used = 0, 0
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each piece, -1 if it is new."""
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        at = self.slot_at[slot]
-        open_ = np.flatnonzero((at >= 0) & (self.slot_hash[slot] != h))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & (self.SLOTS - 1)
-            at[open_] = self.slot_at[slot[open_]]
-            open_ = open_[(at[open_] >= 0) & (self.slot_hash[slot[open_]] != h[open_])]
-        return at
-
-    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
-        slot = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
-        left = np.arange(len(h))
-        while len(left):
-            free = left[self.slot_at[slot[left]] < 0]
-            _, one = np.unique(slot[free], return_index=True)
-            placed = free[one]
-            self.slot_hash[slot[placed]], self.slot_at[slot[placed]] = h[placed], number[placed]
-            left = np.setdiff1d(left, placed, assume_unique=True)
-            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+        self.memory = Remembered()
 
     def learn(self, h: np.ndarray, pieces: list[bytes], simple: np.ndarray) -> None:
         """Remembers the ids of new pieces; simple ones are a single run of lower-cased letters."""
@@ -97,17 +68,7 @@ class PieceTokenizer:
         for i, x in zip(others.tolist(), self.tokenizer.encode_batch_fast([pieces[i].decode() for i in others], add_special_tokens=False)):
             ids[i] = x.ids
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        k, total = self.known, int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(ids) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.size[k : k + len(ids)] = sizes
-        self.start[k : k + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.known += len(ids)
-        self._put(h, np.arange(k, k + len(ids), dtype=np.int32))
+        self.memory.add(h, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes)
 
     def _pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Lower-cased bytes, and the start, end, text and simplicity of every piece."""
@@ -140,21 +101,18 @@ class PieceTokenizer:
         low, begins, ends, text, simple = self._pieces(raw, offsets)
         # whether it is a run of letters is part of a piece: the same bytes may stand in a text that was not lower-cased
         h = range_hashes(prefix_hashes(SYMBOLS[low]), begins, ends) ^ simple.astype(np.uint64)
-        if self.known > REMEMBERED:
-            self.clear()
-        at = self.find(h)
+        if self.memory.known > REMEMBERED:
+            self.memory = Remembered()
+        at = self.memory.table.find(h)
         if (at < 0).any():
             new = np.flatnonzero(at < 0)
             fresh, one = np.unique(h[new], return_index=True)
             one = new[one]
             data = low.tobytes()
             self.learn(fresh, [data[a:b] for a, b in zip(begins[one].tolist(), ends[one].tolist())], simple[one])
-            at[new] = self.find(h[new])
-        sizes = self.size[at].astype(np.int64)
-        stops = np.cumsum(sizes)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = self.flat[np.repeat(self.start[at] - (stops - sizes), sizes) + np.arange(total)]
-        edge = np.concatenate([[0], stops])[np.searchsorted(text, np.arange(len(offsets)))]
+            at[new] = self.memory.table.find(h[new])
+        ids, stops = self.memory.joined(at)
+        edge = stops[np.searchsorted(text, np.arange(len(offsets)))]
         return [ids[a:b] for a, b in zip(edge, edge[1:])]
 
 

@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import cross_polytope, near_dup, packing, quality, secret_scan, sharding, suffix_dedup, va_topk
+from tamarack.llm import cross_polytope, near_dup, packing, quality, secret_scan, sentencepiece_sa, sharding, suffix_dedup, va_topk
 
 #: Vocabulary files are parameters; these are the public ones that the environment offers.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +40,10 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sa.encode_texts(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -51,7 +57,7 @@ def op10_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_topk.top_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope_ann, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards, op8_quality_classifier, op9_secret_scan, op10_va_file_topk)}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope_ann, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards, op6_sentencepiece_suffix_array, op8_quality_classifier, op9_secret_scan, op10_va_file_topk)}
 ORACLES: dict[str, str] = {
     "op10_va_file_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
