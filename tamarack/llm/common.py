@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +40,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered(df: DataFrame, keys: list[str], name: str = "row") -> DataFrame:
+    """df with the place of each row (from 0) in the order of the keys, by counts of range partitions; a table."""
+    dealt = durable(df.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition of the exchange above, whatever the data
+    firsts = dealt.groupBy("part").agg(F.count("*").alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("part").orderBy(*keys)
+    placed = dealt.withColumn("inside", F.row_number().over(inside)).join(F.broadcast(firsts), "part")
+    return durable(placed.select(*df.columns, (F.col("first") + F.col("inside") - 1).alias(name)))
+
+
 def bundled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and all columns as they are in one struct named row, so that no name can clash."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))

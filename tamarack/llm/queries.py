@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import cross_polytope, near_dup, packing, quality, secret_scan, sentencepiece_sa, sharding, suffix_dedup, va_topk
+from tamarack.llm import chat_quotes, cross_polytope, near_dup, packing, quality, secret_scan, sentencepiece_sa, sharding, suffix_dedup, va_topk
 
 #: Vocabulary files are parameters; these are the public ones that the environment offers.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,11 @@ def op6_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str) -> DataFram
     return sentencepiece_sa.encode_texts(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat_quotes.linked_conversations(_table(spark, sf_dir, "conversations"))
+    return messages.select("conv_id", "turn", "role", "position", "reply_to", "n_quoted", "max_level", "n_linked", F.length("formatted").cast("long").alias("formatted_chars"), F.md5("formatted").alias("formatted_md5"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -57,8 +62,32 @@ def op10_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_topk.top_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_polytope_ann, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards, op6_sentencepiece_suffix_array, op8_quality_classifier, op9_secret_scan, op10_va_file_topk)}
+QUERIES = {f.__name__: f for f in (op1_cross_polytope_ann, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards, op6_sentencepiece_suffix_array, op7_quotation_linking, op8_quality_classifier, op9_secret_scan, op10_va_file_topk)}
 ORACLES: dict[str, str] = {
+    "op7_quotation_linking": """
+        WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+        l AS (SELECT conv_id, turn, unnest(lines) AS line FROM m),
+        p AS (SELECT conv_id, turn, line, regexp_extract(line, '^((?:[ \\t]*>)+)', 1) AS mark FROM l),
+        n AS (SELECT conv_id, turn, length(mark) - length(replace(mark, '>', '')) AS level,
+                     lower(trim(regexp_replace(substr(line, length(mark) + 1), '[ \\t]+', ' ', 'g'))) AS said FROM p),
+        o AS (SELECT conv_id, said, min(turn) AS original FROM n WHERE level = 0 AND said <> '' GROUP BY conv_id, said),
+        v AS (SELECT n.conv_id, n.turn, o.original, count(*) AS votes FROM n JOIN o ON n.conv_id = o.conv_id AND n.said = o.said
+              WHERE n.level = 1 AND o.original < n.turn GROUP BY ALL),
+        r AS (SELECT conv_id, turn, original, votes FROM v
+              QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY votes DESC, original DESC) = 1),
+        up AS (SELECT conv_id, turn, original AS above FROM r
+               UNION ALL SELECT up.conv_id, up.turn, r.original FROM up JOIN r ON r.conv_id = up.conv_id AND r.turn = up.above),
+        root AS (SELECT conv_id, turn, min(above) AS root FROM up GROUP BY conv_id, turn),
+        c AS (SELECT conv_id, turn, role, len(list_filter(lines, lambda x: regexp_matches(x, '^[ \\t]*>'))) AS n_quoted,
+                     coalesce(list_max(list_transform(lines, lambda x: length(regexp_replace(regexp_extract(x, '^((?:[ \\t]*>)+)', 1), '[^>]', '', 'g')))), 0) AS max_level,
+                     '<|' || coalesce(role, '') || '|>' || chr(10)
+                     || trim(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '^[ \\t]*>')), chr(10)), chr(10))
+                     || chr(10) || '<|end|>' || chr(10) AS formatted FROM m)
+        SELECT c.conv_id, c.turn, c.role,
+               row_number() OVER (PARTITION BY c.conv_id ORDER BY coalesce(root.root, c.turn) NULLS FIRST, c.turn NULLS FIRST, c.role NULLS FIRST, md5(formatted)) - 1 AS position,
+               r.original AS reply_to, n_quoted::INTEGER AS n_quoted, max_level::INTEGER AS max_level, coalesce(r.votes, 0) AS n_linked,
+               length(formatted) AS formatted_chars, md5(formatted) AS formatted_md5
+        FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn LEFT JOIN root ON root.conv_id = c.conv_id AND root.turn = c.turn""",
     "op10_va_file_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0
