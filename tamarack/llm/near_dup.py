@@ -5,8 +5,9 @@ neighbouring retained values bring together documents whose sketches overlap, th
 similarity of a pair and drops hopeless ones, and exact Jaccard over full shingle sets confirms each link.
 
 Documents with the same set are one class and only its smallest id takes part. In a list, every member is held
-against the smallest id; lists whose members are not yet in one component after that are searched again, all members
-against all, in blocks of bounded size, by sketch alone, and only pairs that could be links leave a block.
+against the smallest id. Lists whose other members are not yet in one component after that are searched again, in
+blocks of bounded size, by sketch alone: what could be linked across components forms families, and families are held
+together exactly, again in blocks. A block gives back a forest at most, never its pairs.
 
 Two sets of similarity 0.75 or more share a retained pair surely while both are at most KEYS + 1 large, and else but
 for a chance below 1e-8 (no two neighbours among the KEYS smallest values of the union are common to both).
@@ -32,6 +33,8 @@ SKETCH, KEYS = 64, 33
 SLACK = 0.25
 #: Members of a block in the search within lists, and documents that are verified together.
 BLOCK, TOGETHER = 1024, 256
+#: Shingles whose counts are added up at once.
+COLUMNS = 8192
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -105,35 +108,86 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("center").filter(keep), batch.column("id").filter(keep)], ["center", "id"])
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a list, or of two blocks of it, that lie in different components and could be links."""
-    key, left, right = table.column("key")[0].as_py(), *(table.column(x)[0].as_py() for x in ("low", "high"))
+def _joined(near: np.ndarray) -> np.ndarray:
+    """The smallest position in the component of each position, for a symmetric matrix of links."""
+    label = np.arange(len(near))
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], len(near)).min(1, initial=len(near)))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _plausible_groups(table: pa.Table) -> pa.Table:
+    """Members of a list (or of two blocks of it) that may be linked across components, each with the least of its group."""
+    left, right = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     ids, label, side = (table.column(x).to_numpy() for x in ("id", "label", "block"))
     sketches = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
-    n = len(ids)
-    where, value = np.repeat(np.arange(n), [len(s) for s in sketches]), np.concatenate(sketches)
+    n, size = len(ids), np.array([len(x) for x in sketches])
+    where, value = np.repeat(np.arange(n), size), np.concatenate(sketches)
     _, column, count = np.unique(value, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     _, column = np.unique(column[shared], return_inverse=True)
+    held = np.zeros((n, column.max(initial=0) + 1), np.float32)
+    held[where[shared], column] = 1
+    # sketches that are whole sets tell the similarity; of others, two sets as alike as asked share about its part
+    whole = size < SKETCH
+    enough = np.where(whole[:, None] & whole[None, :], PERCENT / (100 + PERCENT) * (size[:, None] + size[None, :]) - 1e-3, (PERCENT / 100 - SLACK) * np.minimum(size[:, None], size[None, :]))
+    near = (held @ held.T >= np.maximum(1, enough)) & (label[:, None] != label[None, :])
+    if left != right:
+        near &= side[:, None] != side[None, :]
+    group = _joined(near)
+    found = np.flatnonzero(near.any(1) & (group != np.arange(n)))
+    return pa.table({"u": ids[found], "v": ids[group[found]]})
+
+
+def _links_across(table: pa.Table) -> pa.Table:
+    """Exact links between members of a family, or of two blocks of it, that join components: a forest of them."""
+    left, right = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    ids, label, side = (table.column(x).to_numpy() for x in ("id", "label", "block"))
+    raw, offsets = utf8_view(table.column("text"))
+    sets = list(shingle_sets(raw, offsets))
+    n, size = len(sets), np.array([len(x) for x in sets])
+    where, value = np.repeat(np.arange(n), size), np.concatenate(sets)
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    where, (_, column) = where[shared], np.unique(column[shared], return_inverse=True)
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    where, column = where[order], column[order]
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[where[a:b], column[a:b] - at] = 1
+        both += held @ held.T
+    both = both.astype(np.int64)
+    linked = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (label[:, None] != label[None, :]) & (size > 0)
+    if left != right:
+        linked &= side[:, None] != side[None, :]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     found = ([], [])
-    if len(column):
-        rows = np.flatnonzero(side == left)
-        held = np.zeros((n, column.max() + 1), np.float32)
-        held[where[shared], column] = 1
-        # two sets as alike as asked share about this part of a sketch
-        enough = np.minimum.outer(*[np.array([len(s) for s in sketches])] * 2) * (PERCENT / 100 - SLACK) * 0.8
-        near = held @ held.T >= np.maximum(1, enough)
-        near &= label[:, None] != label[None, :]
-        near &= (side == left)[:, None] & (side == right)[None, :]
-        if left == right:
-            near &= ids[:, None] < ids[None, :]
-        for i, j in zip(*np.nonzero(near[rows])):
-            a, b = sketches[i := rows[i]], sketches[j]
-            both = np.intersect1d(run_keys(a, len(a)), run_keys(b, len(b)))
-            if len(both) and both[0] == key and estimate(a, b) >= PERCENT / 100 - SLACK:  # a pair leaves only one of its lists
-                found[0].append(min(ids[i], ids[j]))
-                found[1].append(max(ids[i], ids[j]))
-    return pa.table({"center": pa.array(found[0], pa.int64()), "id": pa.array(found[1], pa.int64())})
+    for i, j in zip(*np.nonzero(np.triu(linked))):
+        a, b = find(int(label[i])), find(int(label[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found[0].append(ids[i])
+            found[1].append(ids[j])
+    return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
+
+
+def _in_blocks(rows: DataFrame, group: str, members: DataFrame, size: int) -> DataFrame:
+    """Each row of a group once for every pair of blocks that its own is part of: columns block, low, high."""
+    rows = rows.join(members, group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int")).withColumn("block", F.expr("cast(pmod(hash(id), blocks) as int)"))
+    pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as low, greatest(x, block) as high))")
+    return rows.withColumn("at", F.explode(pairs)).select("*", "at.low", "at.high").drop("at", "members", "blocks")
 
 
 def _confirm(table: pa.Table) -> pa.Table:
@@ -208,15 +262,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = durable(_confirmed(pairs, listed_texts))
     labels = components(links)
 
-    held = members.select("key", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    held = durable(held)
-    mixed = held.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key", "members")
-    spread = held.join(mixed, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(hash(id), blocks) as int)"))
-    grid = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as low, greatest(x, block) as high))")
-    spread = spread.join(sketch, "id").select("key", "id", "label", "block", "sketch", F.explode(grid).alias("at")).select("key", "id", "label", "block", "sketch", "at.low", "at.high")
-    more = durable(spread.groupBy("key", "low", "high").applyInArrow(_across, "center long, id long"))
-    if not more.isEmpty():
-        links = links.union(_confirmed(more.distinct(), listed_texts))
+    held = durable(members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", "center", F.coalesce("label", "id").alias("label")))
+    others = F.when(F.col("id") != F.col("center"), F.col("label"))
+    mixed = held.groupBy("key").agg(F.count("*").alias("members"), F.min(others).alias("a"), F.max(others).alias("b"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same")).where("a != b")
+    # lists with the same members are searched once
+    mixed = mixed.groupBy("members", "same").agg(F.min("key").alias("key")).select("key", "members")
+    spread = _in_blocks(held.select("key", "id", "label"), "key", mixed, BLOCK).join(sketch, "id")
+    maybe = durable(spread.groupBy("key", "low", "high").applyInArrow(_plausible_groups, "u long, v long").distinct())
+    if not maybe.isEmpty():
+        families = components(maybe).select(F.col("node").alias("id"), F.col("label").alias("family"))
+        families = families.union(families.select(F.col("family").alias("id"), "family").distinct())
+        families = durable(families.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", "family", F.coalesce("label", "id").alias("label")))
+        members = families.groupBy("family").agg(F.count("*").alias("members"))
+        spread = _in_blocks(families, "family", members, TOGETHER).join(listed_texts, "id")
+        links = links.union(spread.groupBy("family", "low", "high").applyInArrow(_links_across, "u long, v long"))
         labels = components(links)
 
     in_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_label"))
