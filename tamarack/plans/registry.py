@@ -46,10 +46,14 @@ def _md5(text: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tamarack.plans import catalog  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tamarack.plans import catalog  # noqa: F401
+
     return dict(_SQL)
 
 
