@@ -64,6 +64,16 @@ def op10_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_cross_polytope_ann, op2_minhash_near_dedup, op3_suffix_array_dedup, op4_vector_packing, op5_byte_shards, op6_sentencepiece_suffix_array, op7_quotation_linking, op8_quality_classifier, op9_secret_scan, op10_va_file_topk)}
 ORACLES: dict[str, str] = {
+    "op5_byte_shards": """
+        WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS step),
+        b AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+                     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+        r AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1]), 4294967295), 4294967295) AS text_crc32 FROM b, crc),
+        p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY text_crc32, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, sum(size) OVER ()::BIGINT AS total FROM r),
+        g AS (SELECT *, count(*) OVER (PARTITION BY text_crc32, size) * size AS group_bytes, min(first) OVER (PARTITION BY text_crc32, size) AS group_first FROM p),
+        m AS (SELECT *, CASE WHEN group_bytes * 40 <= 0.01 * total THEN group_first * 2 + group_bytes ELSE first * 2 + size END AS middle FROM g),
+        s AS (SELECT *, least(39, (middle * 40) // (2 * total))::INTEGER AS shard FROM m)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY text_crc32, size, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s""",
     "op7_quotation_linking": """
         WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
         l AS (SELECT conv_id, turn, unnest(lines) AS line FROM m),
