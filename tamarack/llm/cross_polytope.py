@@ -18,7 +18,7 @@ from tamarack.llm.vectors import grid, matrix, ranked, usable
 
 #: Tables, and buckets that a query looks into in each.
 TABLES, PROBES = 8, 12
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 512, 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:

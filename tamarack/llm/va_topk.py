@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tamarack.llm.vectors import grid, matrix, ranked, usable
 
 SCALE, BITS = 64, 6
-BLOCK_ROWS, BLOCK_QUERIES = 16384, 2048
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
 class Cells:
