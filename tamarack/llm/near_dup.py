@@ -32,7 +32,7 @@ SKETCH, KEYS = 64, 33
 #: A pair is dropped if the estimate of its similarity lies this far below the limit (over four standard errors).
 SLACK = 0.25
 #: Members of a block in the search within lists, and documents that are verified together.
-BLOCK, TOGETHER = 1024, 256
+BLOCK, TOGETHER = 2048, 512
 #: Shingles whose counts are added up at once.
 COLUMNS = 8192
 
@@ -185,9 +185,11 @@ def _links_across(table: pa.Table) -> pa.Table:
 
 def _in_blocks(rows: DataFrame, group: str, members: DataFrame, size: int) -> DataFrame:
     """Each row of a group once for every pair of blocks that its own is part of: columns block, low, high."""
-    rows = rows.join(members, group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int")).withColumn("block", F.expr("cast(pmod(hash(id), blocks) as int)"))
+    rows = durable(rows.join(members, group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int")).withColumn("block", F.expr("cast(pmod(hash(id), blocks) as int)")).drop("members"))
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as low, greatest(x, block) as high))")
-    return rows.withColumn("at", F.explode(pairs)).select("*", "at.low", "at.high").drop("at", "members", "blocks")
+    many = rows.where("blocks > 1").withColumn("at", F.explode(pairs)).select("*", "at.low", "at.high").drop("at")
+    one = rows.where("blocks = 1").withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
+    return one.union(many).drop("blocks")
 
 
 def _confirm(table: pa.Table) -> pa.Table:
