@@ -21,6 +21,8 @@ from tamarack.llm.common import SYMBOLS, bundled, durable, prefix_hashes, range_
 COSINES, GAMMA, RIDGE, CELLS, LABELLED = 256, 0.05, 1e-2, 512, 200_000
 PARTS = 16
 CUT = 0.7
+#: The part of a score that ranks rows of one level.
+RANKING = 0.02
 
 _KINDS = [range(65, 91), range(97, 123), range(48, 58), [32], [10], [9, 11, 12, 13], [33, 63], [44, 46, 58, 59], [124], [35, 36, 37, 38, 42, 64, 94, 126], [39, 34, 40, 41, 45], [60, 61, 62, 91, 93, 92, 95, 96, 123, 125, 47, 43], range(128, 256), [*range(9), *range(14, 32), 127]]
 _SYMBOLIC = np.zeros(256, bool)
@@ -111,13 +113,21 @@ class Scorer:
     """From statistics to a calibrated probability of label 1."""
 
     def __init__(self, cosines: Cosines, weights: np.ndarray):
-        self.cosines, self.weights, self.levels = cosines, weights, None
+        self.cosines, self.weights, self.levels, self.learned = cosines, weights, None, False
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Ridge scores, with -0.5 to 1.5 as 0 to 1."""
+        return np.clip((self.cosines(x) @ self.weights + 0.5) / 2, 0, 1)
 
     def cell(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((self.cosines(x) @ self.weights + 0.5) / 2 * CELLS).astype(np.int64), 0, CELLS - 1)
+        return np.minimum((self.place(x) * CELLS).astype(np.int64), CELLS - 1)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self.levels[self.cell(x)]
+        if not self.learned:
+            return np.full(len(x), 0.5)
+        place = self.place(x)
+        # a level is shared by many; the ridge score ranks within it
+        return (1 - RANKING) * self.levels[np.minimum((place * CELLS).astype(np.int64), CELLS - 1)] + RANKING * place
 
 
 def fit(measured: DataFrame, labels: DataFrame) -> Scorer:
@@ -153,11 +163,11 @@ def fit(measured: DataFrame, labels: DataFrame) -> Scorer:
     total, weight = np.zeros(CELLS), np.zeros(CELLS)
     for cell, t, w in table:
         total[cell], weight[cell] = t, w
-    # half a row of each label at the ends keeps the levels between 0 and 1, and gives a model without rows 0.5
+    # half a row of each label at the ends keeps the levels between 0 and 1
     weight[0] += 0.5
     weight[-1] += 0.5
     total[-1] += 0.5
-    scorer.levels = isotonic(total, weight) if n else np.full(CELLS, 0.5)
+    scorer.levels, scorer.learned = isotonic(total, weight), n > 0
     return scorer
 
 
