@@ -261,7 +261,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("center"), F.col("sketch").alias("other")), "center")
     pairs = durable(pairs.select("center", "id", "sketch", "other").mapInArrow(_plausible, "center long, id long"))
     listed_texts = durable(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
-    links = durable(_confirmed(pairs, listed_texts))
+    # texts of one id are one document
+    several = known.groupBy("id").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where("a <> b or c <> d").select("id")
+    same = known.join(several, "id", "left_semi").join(classes, ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    links = durable(_confirmed(pairs, listed_texts).union(same))
     labels = components(links)
 
     held = durable(members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", "center", F.coalesce("label", "id").alias("label")))

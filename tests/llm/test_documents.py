@@ -92,7 +92,7 @@ def test_near_duplicates_of_odd_ids(spark, rows):
     odd = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (5, "q r s"), (2, "Q R S")]
     got = near_dup.near_duplicates(frame(spark, odd)).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got if r.doc_id is None) == [("None", "None", True)] * 2
-    assert len(got) == 6
+    assert len(got) == 6 and {r.component_id for r in got if r.doc_id is not None} == {2}
     kept = near_dup.one_of_each(frame(spark, odd))
     assert kept.columns == ["doc_id", "text", *CLASHING]
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
