@@ -223,18 +223,20 @@ def components(links: DataFrame) -> DataFrame:
     table, so that no part of the graph meets in one place and lost executors cost one step at most.
     """
     edges = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u > v")
         edges = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
-            return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down or none, and nodes with one have none coming in."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).where("down > 1 or (down = 1 and up > 0)").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
