@@ -2,11 +2,13 @@
 
 Vectors are scaled to length one and turned by fast pseudo-rotations (three rounds of random signs and a Hadamard
 transform). In each table a vector lies in the bucket of the signed axis nearest to it; a query looks into the buckets
-of its nearest axes. What it finds is ranked by exact distances of the vectors as they were.
+of its nearest axes. What it finds is ranked by exact distances of the vectors as they were. A query that finds fewer
+than it asks for is held against all rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.llm.common import durable
 from tamarack.llm.vectors import grid, matrix, ranked, usable
 
-#: Tables, and buckets that a query looks into in each.
-TABLES, PROBES = 8, 12
+#: Tables, and buckets that a query looks into in each: so many, and so large a part of the axes at least.
+TABLES, PROBES, SHARE = 8, 12, 3 / 8
 BLOCK_ROWS, BLOCK_QUERIES = 512, 256
 
 
@@ -42,7 +45,7 @@ def axes(x: np.ndarray, table: int, seed: int = 1) -> np.ndarray:
     return np.hstack([y, -y])
 
 
-def _placed(probes: int, tables: int):
+def _placed(probes: int, tables: int, share: float = 0):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -52,7 +55,7 @@ def _placed(probes: int, tables: int):
                 for t in range(tables):
                     reach = axes(x, t)
                     width = reach.shape[1]
-                    k = min(probes, width)
+                    k = min(max(probes, math.ceil(share * width)), width)
                     near = np.argpartition(-reach, k - 1, axis=1)[:, :k] if k < width else np.tile(np.arange(width), (len(x), 1))
                     take = np.repeat(np.arange(len(x)), k)
                     yield pa.RecordBatch.from_arrays([pa.array((t * width + near).ravel().astype(np.int32)), *(part.column(c).take(pa.array(take)) for c in ("dim", "id", "v"))], ["cell", "dim", "id", "v"])
@@ -92,13 +95,28 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
 
     Vectors that are null, empty, all zero or hold null or non-finite components, and null ids, take no part; only
     vectors of one length are compared. A row with the query's own id is no candidate. Ties go to the smaller id; of
-    rows with one id the nearest counts, once. A query without candidates has no rows. No rows give no rows.
+    rows with one id the nearest counts, once. A query has fewer than k rows only if there are no more candidates. No
+    rows give no rows.
     """
     nonzero = F.exists("v", lambda x: x != 0)
     rows, asked = (usable(x, id_col, vector_col).where(nonzero) for x in (vectors, queries))
     kinds = "cell int, dim int, id long, v array<double>"
-    left, right = asked.mapInArrow(_placed(probes, tables), kinds), rows.mapInArrow(_placed(1, tables), kinds)
-    left, right = grid(left, right, ["cell", "dim"], BLOCK_ROWS, BLOCK_QUERIES)
-    at = ["cell", "dim", "b", "q"]
+    left, right = asked.mapInArrow(_placed(probes, tables, SHARE), kinds), rows.mapInArrow(_placed(1, tables), kinds)
+    # copies of one vector shrink so well that they would pass for small enough to broadcast
+    found = durable(_best(left.hint("merge"), right.hint("merge"), ["cell", "dim"], k))
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = asked.join(full, "id", "left_anti")
+    if short.isEmpty():
+        return found
+    # a query may have found all there is; then this finds the same
+    short = durable(short)
+    kept = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return kept.unionByName(_best(short, rows, ["dim"], k))
+
+
+def _best(queries: DataFrame, rows: DataFrame, cell: list[str], k: int) -> DataFrame:
+    """The k nearest rows of each query among those of its cells."""
+    left, right = grid(queries, rows, cell, BLOCK_ROWS, BLOCK_QUERIES)
+    at = [*cell, "b", "q"]
     found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
     return ranked(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, F.col("score"))

@@ -52,6 +52,17 @@ def test_recall_on_the_table(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("n, dim, least", [(8, 8, 1), (8, 64, 1), (500, 64, 0.98), (500, 200, 0.98)])
+def test_recall_over_all_rows(spark, n, dim, least):
+    x = np.random.default_rng(7).normal(size=(n, dim))
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = {(r.query_id, r.vec_id) for r in cross_polytope.nearest_neighbours(df, df, 10).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(n) for j in np.argsort(d[i])[: min(10, n - 1)]}
+    assert len(got) == len(want) and len(got & want) >= least * len(want)
+
+
 def test_rotation_keeps_length():
     x = np.random.default_rng(1).normal(size=(5, 6))
     reach = cross_polytope.axes(x, 3)
