@@ -1,9 +1,10 @@
 """Conversations without quotes, in the order of their replies, by linking quotations to what they quote.
 
-Lines that begin with marks (">", nested ones too) are quoted. A quoted line of the first level is normalised, hashed
-and joined to the first message of the conversation that says it itself; the message with most such lines is the one
-that is replied to. Threads follow their roots, each reply stands after what it replies to, and the messages are
-written without quoted lines. Everything is a built-in DataFrame expression.
+Lines that begin with marks (">", nested ones too) are quoted. A quoted line of any level is normalised, hashed and
+joined to the first message of the conversation that says it itself. The message with most lines of the first level is
+the one that is replied to; where no such line is linked, the least deep level that has a link decides. Threads
+follow their roots, each reply stands after what it replies to, and the messages are written without quoted lines.
+Everything is a built-in DataFrame expression.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ def normalised(line: Column) -> Column:
 def reply_links(messages: DataFrame) -> DataFrame:
     """conv, turn, reply_to, votes of the messages of (conv, turn, lines) that quote an earlier one."""
     lines = messages.where("conv is not null and turn is not null").select("conv", "turn", F.explode("lines").alias("line"))
-    lines = lines.select("conv", "turn", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("said")).where("said <> '' and level <= 1")
+    lines = lines.select("conv", "turn", quote_level(F.col("line")).alias("level"), normalised(F.col("line")).alias("said")).where("said <> ''")
     lines = lines.select("conv", "turn", "level", F.md5("said").alias("said"))
-    quoted = lines.where("level = 1").groupBy("conv", "turn", "said").agg(F.count("*").alias("n"))
+    quoted = lines.where("level > 0").groupBy("conv", "turn", "level", "said").agg(F.count("*").alias("n"))
     originals = lines.where("level = 0").groupBy("conv", "said").agg(F.min("turn").alias("original"))
-    votes = quoted.join(originals, ["conv", "said"]).where("original < turn").groupBy("conv", "turn", "original").agg(F.sum("n").alias("votes"))
-    best = votes.groupBy("conv", "turn").agg(F.max(F.struct("votes", "original")).alias("best"))
+    votes = quoted.join(originals, ["conv", "said"]).where("original < turn").groupBy("conv", "turn", "level", "original").agg(F.sum("n").alias("votes"))
+    best = votes.groupBy("conv", "turn").agg(F.max(F.struct((-F.col("level")).alias("shallow"), "votes", "original")).alias("best"))
     return best.select("conv", "turn", F.col("best.original").alias("reply_to"), "best.votes")
 
 
@@ -53,7 +54,7 @@ def linked_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_co
     """For each message: conversation, turn, role, position, reply_to, n_quoted, max_level, n_linked, formatted.
 
     position counts from 0 in each conversation, by (root of the thread, turn, role, text). n_quoted are quoted lines,
-    n_linked those of the first level that the message replied to says. formatted is the message with its role and
+    n_linked those of the level that decides which the message replied to says. formatted is the message with its role and
     without quotes. A null text is empty and a null role written as none. Messages without a conversation or turn link
     to nothing; those without a conversation are numbered together, null turns come first. Several messages of one turn
     are one for links. Other columns are not looked at. No rows give no rows.

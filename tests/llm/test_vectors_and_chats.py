@@ -123,6 +123,22 @@ def test_chats(spark, tmp_path):
     assert chat_quotes.linked_conversations(df.where("false")).count() == 0
 
 
+def test_nested_quotes(spark):
+    chats = [
+        (1, 0, "user", "first\nalso first"),
+        (1, 1, "assistant", "second"),
+        (1, 2, "user", ">> First\n> > also first\n>>> second\nonly nested"),
+        (1, 3, "user", ">> first\n>> also first\n> second\nlevel 1 wins"),
+        (1, 4, "user", ">> first\n>> no one said this\n> nor this\nlevel 1 says nothing"),
+        (1, 5, "user", ">>> second\ndeep"),
+        (1, 6, "user", ">> later\nquotes what comes later"),
+        (1, 7, "user", "later"),
+    ]
+    df = spark.createDataFrame(chats, "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.position, r.reply_to, r.n_linked, r.max_level) for r in chat_quotes.linked_conversations(df).collect()}
+    assert got == {0: (0, None, 0, 0), 2: (1, 0, 2, 3), 4: (2, 0, 1, 2), 1: (3, None, 0, 0), 3: (4, 1, 1, 2), 5: (5, 1, 1, 3), 6: (6, None, 0, 2), 7: (7, None, 0, 0)}
+
+
 def test_products_sql(spark):
     folder = "/root/testdata/sf0.01"
     db = duckdb.connect()
