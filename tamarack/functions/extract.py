@@ -14,16 +14,29 @@ from tamarack.functions.text import hash_type, refanged
 
 # fixed values: shapes of observables and names of zones
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_HOST = r"(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,63}"
+_IN_PATH = r"[^\s<>\"')\]]"
 SHAPES = {
-    "url": r"\bhttps?://[A-Za-z0-9.:-]+[^\s<>\"')\]]*",
-    "cve": r"(?i)\bCVE-[0-9]{4}-[0-9]{4,7}\b",
+    # with a scheme, or a host with a path; what follows an address must hold a letter and be no protocol
+    "url": rf"\b(?i:https?|wss?)://[A-Za-z0-9.:-]+{_IN_PATH}*"
+    rf"|(?<![\w@:/.-]){_HOST}(?::[0-9]{{1,5}})?/(?={_IN_PATH}*[\w~%]){_IN_PATH}+"
+    rf"|(?<![\w@:/.-]){_IPV4}(?::[0-9]{{1,5}})?/(?!(?i:tcp|udp|sctp)\b)(?={_IN_PATH}*[A-Za-z_~%]){_IN_PATH}+",
+    "cve": r"(?i:\bCVE-[0-9]{4}-[0-9]{4,7}\b)",
     "technique": r"\bT[0-9]{4}(?:\.[0-9]{3})?\b",
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b",
-    "ip": rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b",
+    "domain": rf"\b{_HOST}\b",
+    "cidr": rf"\b{_IPV4}/(?:3[0-2]|[12]?[0-9])\b",
+    "ip_port": rf"\b{_IPV4}:[0-9]{{1,5}}\b",
+    "ip": rf"\b{_IPV4}\b",
+    "ipv6": r"(?<![0-9a-fA-F:])::1(?![0-9a-fA-F:])",
     "sha256": r"\b[0-9a-fA-F]{64}\b",
     "sha1": r"\b[0-9a-fA-F]{40}\b",
-    "md5": r"\b[0-9a-fA-F]{32}\b",
+    # a hexadecimal literal is one where it opens a line
+    "md5": r"\b[0-9a-fA-F]{32}\b|(?m:^)[ \t]*(?:[-*•·▪][ \t]*)?0[xX][0-9a-fA-F]{32}(?![0-9A-Za-z_])",
 }
+#: What each match of a shape that is slow to look for has in it.
+NEEDED = {"url": "/", "email": "@", "domain": r"[A-Za-z0-9]\.[A-Za-z]{2}", "cidr": r"[0-9]/[0-9]", "ip_port": r"[0-9]:[0-9]", "ipv6": "::1"}
 ZONES = (
     ("explicit_ioc_section", r"(?i)^(appendix\s+\w+\s*[:.-]\s*)?(indicators? of compromise|iocs?|indicators?)\b", 48),
     ("reference_section", r"(?i)^(appendix\s+\w+\s*[:.-]\s*)?(references|further reading|bibliography|sources)\b", 200),
@@ -124,15 +137,19 @@ def _typed(values: Column, kind: str) -> Column:
 
 
 def observables(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Typed observables of each text: id, type, value, occurrences; the longer shape takes what the shorter would."""
+    """Typed observables of each text: id, type, value, occurrences; the longer shape takes what the shorter would.
+
+    An address with a port counts as ip_port and as ip. Domains are told by their shape, so names of files may be some.
+    """
     rows = texts.select(F.col(id_col).alias("id"), refanged(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    rest, found = F.col("text"), []
     for kind, pattern in SHAPES.items():
-        found.append(_typed(F.regexp_extract_all(rest, F.lit(f"({pattern})")), kind))
-        if kind in ("url", "email", "sha256", "sha1"):
-            rest = F.regexp_replace(rest, pattern, " ")
+        there = F.col("text").rlike(NEEDED[kind]) if kind in NEEDED else F.lit(True)
+        rows = rows.withColumn(f"of_{kind}", F.when(there, _typed(F.regexp_extract_all("text", F.lit(f"({pattern})")), kind)))
+        if kind in ("url", "email", "domain", "cidr", "sha256", "sha1"):
+            rows = rows.withColumn("text", F.when(F.size(f"of_{kind}") > 0, F.regexp_replace("text", pattern, " ")).otherwise(F.col("text")))
+    found = [F.coalesce(f"of_{kind}", F.array().cast("array<struct<type:string,value:string>>")) for kind in SHAPES]
     every = rows.select("id", F.explode(F.concat(*found)).alias("o"))
-    value = F.when(F.col("o.type").isin("cve", "technique"), F.upper("o.value")).when(F.col("o.type") == "url", F.regexp_replace("o.value", r"[.,;:]+$", "")).otherwise(F.lower("o.value"))
+    value = F.when(F.col("o.type").isin("cve", "technique"), F.upper("o.value")).when(F.col("o.type") == "url", F.regexp_replace("o.value", r"[.,;:]+$", "")).when(F.col("o.type") == "md5", F.lower(F.right("o.value", F.lit(32)))).otherwise(F.lower("o.value"))
     return every.select("id", "o.type", value.alias("value")).groupBy("id", "type", "value").agg(F.count("*").alias("occurrences"))
 
 

@@ -498,6 +498,11 @@ def observables_in_documents(t: Tables) -> DataFrame:
     return extract.observables(t.documents, "doc_id").where("type in ('email', 'ip', 'sha1')")
 
 
+@query()
+def observables_of_every_type(t: Tables) -> DataFrame:
+    return extract.observables(t.documents, "doc_id")
+
+
 @query()
 def blocks_of_pages(t: Tables) -> DataFrame:
     return extract.html_blocks(t.pages).withColumn("zone", F.when(F.col("kind") == "heading", extract.heading_zone()))

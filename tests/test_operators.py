@@ -183,6 +183,20 @@ def test_extraction(spark):
     assert one(spark, extract.repeated_key("v"), "Page 3 of report 12/01/2024", "21GopherName: x") == ["PAGE of report DATE", "gophername: x"]
 
 
+def test_observables_of_every_type(spark, tmp_path):
+    h = "0123456789abcdef" * 2
+    given = {
+        f"evil[.]com, wss://c2[.]evil.net/ws; js.Evil.org/Layer.js, 5.6.7.8/gate and 9.8.7.6:53/tcp. See host.example/. 0x{h}": [("domain", "evil.com"), ("url", "wss://c2.evil.net/ws"), ("url", "js.Evil.org/Layer.js"), ("url", "5.6.7.8/gate"), ("ip", "9.8.7.6"), ("ip_port", "9.8.7.6:53"), ("domain", "host.example")],
+        f"10.0.0.0/8 not 10.0.0.1 ::1 1::1\n- 0x{h.upper()} x\n{h} {h}{h} cve-2024-1234 T1059.001": [("cidr", "10.0.0.0/8"), ("ip", "10.0.0.1"), ("ipv6", "::1"), ("md5", h), ("md5", h), ("sha256", h + h), ("cve", "CVE-2024-1234"), ("technique", "T1059.001")],
+        f"mail a@evil.com or 1.2.3.4.host.evil.com, HTTPS://X.y/{h}.": [("email", "a@evil.com"), ("domain", "1.2.3.4.host.evil.com"), ("url", f"HTTPS://X.y/{h}")],
+        "nothing. here": [],
+    }
+    spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.id, r.type, r.value) for r in registry.queries()["observables_of_every_type"](spark, str(tmp_path)).collect() for _ in range(r.occurrences)]
+    assert sorted(got) == sorted((i, *o) for i, found in enumerate(given.values()) for o in found)
+    assert registry.queries()["observables_of_every_type"](spark, SMALL).where("type in ('email', 'ip', 'sha1')").exceptAll(registry.queries()["observables_in_documents"](spark, SMALL)).isEmpty()
+
+
 def test_candidates_and_rules(spark):
     given = ["", "--", "cve-2024-1234", "a@b.com", "a@b", "T1059.001", "10.0.0.0/8", "10.0.0.0/99", "1.2.3.4", "1.2.3.999", "hxxp://x", "a" * 40, "a" * 33, "evil[.]com", "a..b", "word"]
     got = one(spark, extract.candidate_value("v"), *given)
