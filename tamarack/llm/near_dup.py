@@ -193,18 +193,20 @@ def _in_blocks(rows: DataFrame, group: str, members: DataFrame, size: int) -> Da
 
 
 def _confirm(table: pa.Table) -> pa.Table:
-    """Exact similarity of a center with each of a block of documents."""
+    """Exact similarity of a center, by each of its texts, with each of a block of documents."""
     center = table.column("center")[0].as_py()
     ids = table.column("id").to_pylist()
     raw, offsets = utf8_view(table.column("text"))
     sets = list(shingle_sets(raw, offsets))
-    own = sets[ids.index(center)]
+    every = [s for i, s in zip(ids, sets) if i == center and len(s)]
     found = []
     for i, s in zip(ids, sets):
         if i != center and len(s):
-            both = len(np.intersect1d(own, s, assume_unique=True))
-            if 100 * both >= PERCENT * (len(own) + len(s) - both):
-                found.append(i)
+            for own in every:
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if 100 * both >= PERCENT * (len(own) + len(s) - both):
+                    found.append(i)
+                    break
     return pa.table({"u": pa.array([center] * len(found), pa.int64()), "v": pa.array(found, pa.int64())})
 
 

@@ -302,3 +302,11 @@ def test_isotonic():
     import numpy as np
 
     assert quality.isotonic(np.array([1.0, 0, 2, 0, 3]), np.array([1.0, 1, 2, 0, 3])).tolist() == [0.5, 0.5, 1, 1, 1]
+
+
+def test_near_copies_of_each_text_of_an_id(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, one), (5, two), (7, one + " more"), (8, two + " more"), (9, "something else that is not like them")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
