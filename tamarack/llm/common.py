@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,15 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (as in tests) gets a folder of its own; a session with other machines raises, as
+    they could not read it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tamarack-')}"
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -51,6 +59,19 @@ def numbered(df: DataFrame, keys: list[str], name: str = "row") -> DataFrame:
     return durable(placed.select(*df.columns, (F.col("first") + F.col("inside") - 1).alias(name)))
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], how: str, weight: str, total: int, most: int = 1000) -> DataFrame:
+    """rows joined (inner or left) with one row for each group, where a group may hold any part of the rows.
+
+    Groups with at least one of ``most`` parts of ``total`` by their ``weight`` (never more than ``most`` rows in
+    groups, if the weights add up to total) are broadcast, so that their rows stay where they are; the others shuffle.
+    Both sides are read twice and should be tables. The column ``weight`` is dropped.
+    """
+    full = F.col(weight) * most >= max(1, total)
+    hot, others = groups.where(full).drop(weight), groups.where(~full).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(others, on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def bundled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and all columns as they are in one struct named row, so that no name can clash."""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
@@ -181,29 +202,103 @@ class OpenTable:
             slot[left] = (slot[left] + 1) & most
 
 
+_TAIL = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
+#: Bytes of a range that are hashed eight at a time with many others; longer ones go through BLAKE2.
+SHORT = 128
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number (zeros follow the end), without a copy for each place."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def piece_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of each raw[begin:end], one function for each salt; no sum of its bytes, so that order always counts."""
+    size = ends - begins
+    h = mix64(size.astype(np.uint64) * M1 + mix64(np.array([salt + 1], np.uint64)))
+    view, at = eights(raw), 0
+    live = np.flatnonzero((size > 0) & (size <= SHORT))
+    while len(live):
+        rest = size[live] - at
+        word = view[begins[live] + at] & _TAIL[np.minimum(rest, 8)]
+        h[live] = mix64(h[live] ^ mix64(word * M2 + np.uint64(at + 1)))
+        at += 8
+        live = live[rest > 8]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[begins[i] : ends[i]], digest_size=8, salt=salt.to_bytes(4, "little")).digest(), "little")
+    return h
+
+
+def same_bytes(raw: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether raw[at:at+size] and other[there:there+size] are equal, for each place."""
+    same, one, two, k = np.ones(len(at), bool), eights(raw), eights(other), 0
+    live = np.flatnonzero(size > 0)
+    while len(live):
+        rest = size[live] - k
+        differ = (one[at[live] + k] ^ two[there[live] + k]) & _TAIL[np.minimum(rest, 8)] != 0
+        same[live[differ]] = False
+        k += 8
+        live = live[~differ & (rest > 8)]
+    return same
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    while len(x) < n:
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
 class Remembered:
-    """Arrays of ids by number, found by hash."""
+    """Ids of ranges of bytes, by number; found by hash, and then only if the bytes (and a mark) are the same."""
 
     def __init__(self) -> None:
-        self.table, self.known, self.used = OpenTable(), 0, 0
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """ids: those of all new ones, end to end."""
-        k, n, total = self.known, len(sizes), len(ids)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = ids
-        self.size[k : k + n] = sizes
+        self.table, self.known = OpenTable(), 0
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.data, self.filled = np.zeros(1 << 16, np.uint8), 0
+        self.start, self.size, self.at, self.length, self.mark = (np.zeros(1 << 14, np.int64) for _ in range(5))
+
+    def _add(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, mark: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """ids: those of all new ranges, end to end. Gives the numbers of the ranges."""
+        k, n, length = self.known, len(begins), ends - begins
+        self.ids, self.data = _grown(self.ids, self.used + len(ids)), _grown(self.data, self.filled + int(length.sum()))
+        self.start, self.size, self.at, self.length, self.mark = (_grown(x, k + n) for x in (self.start, self.size, self.at, self.length, self.mark))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[k : k + n], self.length[k : k + n], self.mark[k : k + n] = sizes, length, mark
         self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.known += n
-        self.table.put(h, np.arange(k, k + n, dtype=np.int32))
+        stops = np.cumsum(length)
+        self.at[k : k + n] = self.filled + stops - length
+        self.data[self.filled : self.filled + int(length.sum())] = raw[np.repeat(begins - stops + length, length) + np.arange(int(length.sum()))]
+        self.used, self.filled, self.known = self.used + len(ids), self.filled + int(length.sum()), k + n
+        return np.arange(k, k + n, dtype=np.int32)
+
+    def find(self, h: np.ndarray, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """The number of each range, -1 where it is not known."""
+        at = self.table.find(h)
+        hit = np.flatnonzero(at >= 0)
+        size = ends[hit] - begins[hit]
+        same = (self.length[at[hit]] == size) & (self.mark[at[hit]] == mark[hit])
+        same[same] = same_bytes(raw, begins[hit[same]], self.data[: self.filled], self.at[at[hit[same]]], size[same])
+        at[hit[~same]] = -1
+        return at
+
+    def numbers(self, h: np.ndarray, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, mark: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each range; ``encode`` gives the ids (end to end) and their counts for those that are new."""
+        at = self.find(h, raw, begins, ends, mark)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh, one = np.unique(h[new], return_index=True)
+            free = self.table.find(fresh) < 0
+            fresh, one = fresh[free], new[one[free]]
+            self.table.put(fresh, self._add(raw, begins[one], ends[one], mark[one], *encode(one)))
+            at[new] = self.find(h[new], raw, begins[new], ends[new], mark[new])
+            # other bytes have this hash already; these are encoded each time
+            rest = np.flatnonzero(at < 0)
+            if len(rest):
+                at[rest] = self._add(raw, begins[rest], ends[rest], mark[rest], *encode(rest))
+        return at
 
     def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these numbers end to end, and where each ends (with 0 before)."""
         sizes = self.size[at]
         stops = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[np.repeat(self.start[at] - stops[:-1], sizes) + np.arange(int(stops[-1]))], stops
+        return self.ids[np.repeat(self.start[at] - stops[:-1], sizes) + np.arange(int(stops[-1]))], stops

@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import M1, durable, mix64, prefix_hashes, range_hashes, slices, utf8_view
-from tamarack.llm.common import SYMBOLS
+from tamarack.llm.common import M1, durable, mix64, piece_hashes, slices, spread_join, utf8_view
 
 WORDS = 5
 PERCENT = 75
 #: Values kept of each document, and pairs of neighbours among the smallest that make keys.
 SKETCH, KEYS = 64, 33
-#: A pair is dropped if the estimate of its similarity lies this far below the limit (over four standard errors).
-SLACK = 0.25
+#: A pair is dropped if the estimate of its similarity lies this far below the limit: for a pair at the limit fewer
+#: than 28 of 64 values would have to be shared where 48 are expected, a chance of 2.5e-8.
+SLACK = 0.32
 #: Members of a block in the search within lists, and documents that are verified together.
 BLOCK, TOGETHER = 2048, 512
 #: Shingles whose counts are added up at once.
@@ -43,14 +43,14 @@ _LOWER[65:91] += 32
 _PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
-    """For each text of a batch the sorted 64-bit hashes of its distinct shingles."""
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS, salt: int = 0) -> Iterator[np.ndarray]:
+    """For each text of a batch the sorted 64-bit hashes of its distinct shingles, by one function for each salt."""
     blank = _BLANK[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     begins = np.flatnonzero(~blank & (edge[:-1] | np.concatenate([[True], blank[:-1]])))
     ends = np.flatnonzero(~blank & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
-    word = range_hashes(prefix_hashes(SYMBOLS[_LOWER[raw]]), begins, ends)
+    word = piece_hashes(_LOWER[raw], begins, ends, salt)
     first = np.searchsorted(begins, offsets)
     n = len(word)
     full = np.zeros(max(0, n - words + 1), np.uint64)
@@ -71,10 +71,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = utf8_view(batch.column("text"))
         for i, j in slices(offsets):
             sizes, one, two, kept = [], [], [], []
-            for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+            part, marks = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            # two functions that have nothing in common tell whether two sets are the same
+            for s, other in zip(shingle_sets(part, marks), shingle_sets(part, marks, salt=1)):
                 sizes.append(len(s))
                 one.append(int(mix64(s).sum(dtype=np.uint64)))
-                two.append(int(mix64(s ^ M1).sum(dtype=np.uint64)))
+                two.append(int(mix64(other).sum(dtype=np.uint64)))
                 kept.append(s[:SKETCH].tobytes())
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(sizes, pa.int64()), as_long(one), as_long(two), pa.array(kept, pa.binary())], ["id", "n", "h1", "h2", "sketch"])
@@ -147,7 +149,7 @@ def _links_across(table: pa.Table) -> pa.Table:
     left, right = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     ids, label, side = (table.column(x).to_numpy() for x in ("id", "label", "block"))
     raw, offsets = utf8_view(table.column("text"))
-    sets = list(shingle_sets(raw, offsets))
+    sets = list(shingle_sets(raw, offsets, salt=1))
     n, size = len(sets), np.array([len(x) for x in sets])
     where, value = np.repeat(np.arange(n), size), np.concatenate(sets)
     _, column, count = np.unique(value, return_inverse=True, return_counts=True)
@@ -197,7 +199,7 @@ def _confirm(table: pa.Table) -> pa.Table:
     center = table.column("center")[0].as_py()
     ids = table.column("id").to_pylist()
     raw, offsets = utf8_view(table.column("text"))
-    sets = list(shingle_sets(raw, offsets))
+    sets = list(shingle_sets(raw, offsets, salt=1))
     every = [s for i, s in zip(ids, sets) if i == center and len(s)]
     found = []
     for i, s in zip(ids, sets):
@@ -227,8 +229,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        total = edges.count()
+        # a node with very many edges is looked up by all of them where they are
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).select("u", F.least("u", "m").alias("m"), "edges"))
+        large = durable(spread_join(both, least, ["u"], "inner", "edges", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u > v")
         edges = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
@@ -253,9 +257,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = durable(texts.mapInArrow(_sketches, "id long, n long, h1 long, h2 long, sketch binary"))
     known = sets.where("id is not null and n > 0")
-    classes = known.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    classes = durable(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     # the smallest id of a class has its sketch; an id of several texts stays once for each
-    reps = durable(known.join(classes, ["h1", "h2"]).where("id = rep").select("id", "n", "sketch").distinct())
+    reps = durable(spread_join(known, classes, ["h1", "h2"], "inner", "copies", sets.count()).where("id = rep").select("id", "n", "sketch").distinct())
 
     listed = reps.mapInArrow(_lists, "key long, id long")
     lists = listed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("center")).where("members > 1")
@@ -287,9 +291,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.union(spread.groupBy("family", "low", "high").applyInArrow(_links_across, "u long, v long"))
         labels = components(links)
 
-    in_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_label"))
+    in_class = durable(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_label"), "copies"))
     # an id with several texts joins their classes
-    lone = sets.join(in_class, ["h1", "h2"], "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class_label")), F.col("id"))))
+    lone = spread_join(sets.select("id", "n", "h1", "h2"), in_class, ["h1", "h2"], "left", "copies", sets.count()).withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class_label")), F.col("id"))))
     return lone.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 

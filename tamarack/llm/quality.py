@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import SYMBOLS, bundled, durable, prefix_hashes, range_hashes, slices, unbundled, utf8_view
+from tamarack.llm.common import bundled, durable, piece_hashes, slices, unbundled, utf8_view
 
 #: Cosines, inverse kernel width, ridge weight, cells of the calibration, and labelled rows used at most (more are
 #: sampled by hash; counts and statistics of documents always cover all rows).
@@ -47,13 +47,12 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out[:, at + 2] = share.max(1)
     if not len(raw):
         return out
-    prefix = prefix_hashes(SYMBOLS[raw])
     for k, sep in enumerate((raw <= 32, raw == 10)):  # words, lines
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
         begins = np.flatnonzero(~sep & (edge[:-1] | np.concatenate([[True], sep[:-1]])))
         ends = np.flatnonzero(~sep & (edge[1:] | np.concatenate([sep[1:], [True]]))) + 1
-        h, owner = range_hashes(prefix, begins, ends), text[begins]
+        h, owner = piece_hashes(raw, begins, ends), text[begins]
         many = np.bincount(owner, minlength=n)
         per = np.maximum(1, many)
         same = np.concatenate([[False], (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])])

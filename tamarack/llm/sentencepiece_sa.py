@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import SYMBOLS, OpenTable, Remembered, mix64, prefix_hashes, range_hashes, slices, utf8_view
+from tamarack.llm.common import OpenTable, Remembered, mix64, piece_hashes, slices, utf8_view
 
 SPACE = "▁"
-STEP, REMEMBERED = 1 << 21, 1 << 21
+#: Bytes that are encoded at once, and words (and bytes of them) whose ids are remembered.
+STEP, REMEMBERED, REMEMBERED_BYTES = 1 << 21, 1 << 21, 1 << 26
 INDEXED = 16
 
 
@@ -195,16 +196,11 @@ class Encoder:
         edge[1:-1] |= ~self.vocabulary.inside[raw[:-1], raw[1:]] & (raw[1:] & 0xC0 != 0x80)
         cuts = np.flatnonzero(edge)
         begins, ends = cuts[:-1], cuts[1:]
-        h = range_hashes(prefix_hashes(SYMBOLS[raw]), begins, ends)
-        if self.memory.known > REMEMBERED:
+        if self.memory.known > REMEMBERED or self.memory.filled > REMEMBERED_BYTES:
             self.memory = Remembered()
-        at = self.memory.table.find(h)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh, one = np.unique(h[new], return_index=True)
-            one, data = new[one], raw.tobytes()
-            self.memory.add(fresh, *self.vocabulary.encode_words([data[a:b] for a, b in zip(begins[one].tolist(), ends[one].tolist())]))
-            at[new] = self.memory.table.find(h[new])
+        data = raw.tobytes()
+        encode = lambda which: self.vocabulary.encode_words([data[a:b] for a, b in zip(begins[which].tolist(), ends[which].tolist())])
+        at = self.memory.numbers(piece_hashes(raw, begins, ends), raw, begins, ends, np.zeros(len(begins), np.int64), encode)
         ids, stops = self.memory.joined(at)
         edge = stops[np.searchsorted(begins, offsets)]
         return [ids[a:b] for a, b in zip(edge, edge[1:])]

@@ -153,7 +153,7 @@ def test_packing(spark, rows):
 
     tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
-    got = packing.pack_documents(frame(spark, rows), WORD_TOKENIZER, with_ids=True).collect()
+    got = packing.pack_documents(frame(spark, rows), WORD_TOKENIZER, segments=256, loss=4096, with_ids=True).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
         pieces[r.doc_id].append(r)
@@ -168,7 +168,18 @@ def test_packing(spark, rows):
         assert [r.offset for r in parts] == [sum(q.length for q in parts[:k]) for k in range(len(parts))]
         total = sum(r.length for r in parts)
         assert total == 4096 or (total < 4096 and total & (total - 1) == 0)
-        assert len(parts) <= packing.SEGMENTS
+        assert len(parts) <= 256
+
+
+def test_packing_under_the_limits_of_the_query(spark, rows):
+    """A sequence is full, or a power of two, or another limit ended it."""
+    sequences = defaultdict(list)
+    for r in packing.pack_documents(frame(spark, rows), WORD_TOKENIZER).collect():
+        sequences[r.sequence_id].append(r)
+    for parts in sequences.values():
+        total, loss = sum(r.length for r in parts), sum(r.loss_tokens for r in parts)
+        assert total <= packing.TOKENS and loss <= packing.LOSS and len(parts) <= packing.SEGMENTS
+        assert total == packing.TOKENS or total & (total - 1) == 0 or loss == packing.LOSS or len(parts) == packing.SEGMENTS
 
 
 def test_packing_limits():
@@ -310,3 +321,96 @@ def test_near_copies_of_each_text_of_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()}
     assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(k).count("1") & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_sums_of_powers_confuse(spark, size):
+    """Words for which every polynomial hash modulo 2**64 is the same."""
+    from tokenizers import Tokenizer
+    import sentencepiece
+
+    one, two = thue_morse(size), thue_morse(size, "b", "a")
+    rows = [(1, one), (2, two), (3, one + " x y z"), (4, two + " x y z"), (5, two)]
+    got = near_dup.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
+    tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
+    pieces = defaultdict(list)
+    for r in packing.pack_documents(frame(spark, rows).coalesce(1), WORD_TOKENIZER, with_ids=True).collect():
+        pieces[r.doc_id].append((r.start, r.ids))
+    assert {i: [x for _, p in sorted(v) for x in p] for i, v in pieces.items()} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    got = sentencepiece_sa.encode_texts(frame(spark, rows).coalesce(1), PIECE_MODEL, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: sp.encode(t) for i, t in rows}
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == without_repeats(rows)
+
+
+@pytest.mark.parametrize("module", [packing, sentencepiece_sa])
+def test_ids_of_pieces_with_one_hash(monkeypatch, rows, module):
+    """Bytes decide, not hashes: here all pieces have one of four."""
+    import numpy as np
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from tamarack.llm import common
+
+    monkeypatch.setattr(module, "piece_hashes", lambda *a: common.piece_hashes(*a) & np.uint64(3))
+    texts = [t for _, t in rows if t and len(t) < 5000][:60]
+    raw, offsets = common.utf8_view(pa.array(texts))
+    if module is packing:
+        tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
+        got, want = packing.PieceTokenizer(WORD_TOKENIZER).encode(raw, offsets), [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    else:
+        sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+        got, want = sentencepiece_sa.Encoder(PIECE_MODEL).encode(raw, offsets), [sp.encode(t) for t in texts]
+    assert [x.tolist() for x in got] == want
+
+
+def test_near_duplicates_in_small_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "TOGETHER", 2)
+    chain = [(1000 + k, " ".join(f"w{i}" for i in range(k * 6, k * 6 + 120))) for k in range(24)]
+    copies = [(2000 + k, " ".join(f"v{i + (i == k) * 1000}" for i in range(300))) for k in range(12)]
+    every = rows + chain + copies
+    got = near_dup.near_duplicates(frame(spark, every)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(every)
+
+
+def test_packing_by_another_tokenizer_file(tmp_path):
+    """A file that splits in another way goes through the library as it is."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from tamarack.llm import common
+
+    spec = json.load(open(WORD_TOKENIZER, encoding="utf-8"))
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    path = str(tmp_path / "cased.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    texts = ["Upper And lower", "", "ÉCOLE 12"]
+    own = packing.PieceTokenizer(path)
+    raw, offsets = common.utf8_view(pa.array(texts))
+    assert not own.known and packing.PieceTokenizer(WORD_TOKENIZER).known
+    assert [x.tolist() for x in own.encode(raw, offsets)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_with_prompts(spark):
+    """Leading ids that bear no loss, from a column, count for no loss limit."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, "word " * (20 + 7 * k % 50), 10 + k % 9) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, prompt long").coalesce(2)
+    got = packing.pack_documents(df, WORD_TOKENIZER, tokens=128, segments=5, loss=90, prompt=F.col("prompt")).collect()
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+        bare = rows[r.doc_id][2]
+        assert r.loss_tokens == len([x for x in range(r.start, r.start + r.length) if x >= bare])
+    for parts in sequences.values():
+        assert sum(r.length for r in parts) <= 128 and sum(r.loss_tokens for r in parts) <= 90 and len(parts) <= 5
+    assert sum(r.length for r in got) == sum(max(r.doc_tokens for r in got if r.doc_id == k) for k, _, _ in rows)
