@@ -276,12 +276,72 @@ def test_secret_network_holds_recall_and_leaves_words():
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 12))) for _ in range(500)]
     texts = [" ".join(rng.choices(words, k=60)) for _ in range(50)]
+    places = [(t, *m.span()) for t in texts for m in re.finditer("[a-z]+", t)][::7]
+    contexts, plain = [(t[max(0, a - 16) : a], t[b : b + 16]) for t, a, b in places], [t[a:b] for t, a, b in places]
     network = secret_scan.Network()
-    network.train(*secret_scan.labelled(texts))
-    x, y = secret_scan.labelled(texts, seed=77)
+    x, y, of = secret_scan.made_up(contexts, plain)
+    network.train(x, y, of % 4 == 0, np.zeros(len(y), bool))
+    x, y, _ = secret_scan.made_up(contexts, plain, seed=77)
     flagged = network.probability(x) >= network.threshold
     assert flagged[y == 1].mean() >= 0.9 and flagged[y == 0].mean() <= 0.05
-    assert np.isfinite(network.threshold)
+    assert np.isfinite(network.threshold) and network.report["made"]["recall"] >= secret_scan.RECALL - 0.01
+
+
+def test_secret_network_by_loops():
+    """The network's output by plain loops, and its gradient by differences."""
+    import numpy as np
+
+    network = secret_scan.Network(seed=3)
+    network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    text = "key = 'aZ3" + "x9Qe" * 12 + "' and more"
+    x, owner = secret_scan.windows(text, [(7, 58), (0, 3)])
+    assert owner.tolist() == [0, 0, 1]
+    p, out = network.p, []
+    for row in x:
+        places = secret_scan.WIDTH - secret_scan.REACH + 1
+        z = np.zeros((places, secret_scan.FILTERS))
+        for i in range(places):
+            for f in range(secret_scan.FILTERS):
+                total = p["cb"][f]
+                for k in range(secret_scan.REACH):
+                    for d in range(secret_scan.EMBED):
+                        total += p["e"][row[i + k], d] * p["c"][k * secret_scan.EMBED + d, f]
+                z[i, f] = max(0, total)
+        own = range(secret_scan.BEFORE, secret_scan.BEFORE + secret_scan.INSIDE - secret_scan.REACH + 1)
+        filled = [i for i in own if row[i]]
+        features = np.concatenate([z[list(own)].max(0), z[filled].mean(0), z.max(0)])
+        out.append(np.maximum(features @ p["h"] + p["hb"], 0) @ p["o"] + p["ob"][0])
+    assert np.allclose(network.logits(x), out)
+    y = np.array([1.0, 0.0, 1.0])
+    loss = lambda: float(np.mean(np.logaddexp(0, network._forward(x)[0]) - y * network._forward(x)[0]))
+    g = network._gradient(x, y)
+    rng = np.random.default_rng(2)
+    for name, v in network.p.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in v.shape)
+            if name == "e":
+                at = (int(rng.choice(x.ravel())), at[1])
+            keep, step = v[at], 1e-5
+            v[at] = keep + step
+            high = loss()
+            v[at] = keep - step
+            low = loss()
+            v[at] = keep
+            assert abs((high - low) / (2 * step) - g[name][at]) < 1e-6, name
+
+
+def test_candidates_of_the_network():
+    spans = lambda t: [t[a:b] for a, b in secret_scan.candidates(t, secret_scan.base_spans(t))]
+    assert spans("plain words and 1234567 only, WORD") == []
+    assert spans("id ab12cd34. end") == ["ab12cd34"]
+    assert spans("xoxb-1234567890123456-AbCdEfGhIjKl") == ["xoxb-1234567890123456-AbCdEfGhIjKl"]
+    assert spans("password: hunter2x") == ["password: hunter2x"]
+    assert spans("the 'p@ss!word9' here") == ["p@ss!word9"]
+    assert spans("AKIAABCDEF0") == ["AKIAABCDEF0"] and spans("AKIAABCDEF") == ["AKIAABCDEF"]
+    assert spans("aBcDeFgHiJkLmNoPqR") == ["aBcDeFgHiJkLmNoPqR"]
+    assert spans("token=" + "a1" * 30) == [] and spans("deadbeefdeadbeef") == []
+    long = "q7" * 100
+    assert spans(long) == [long] and len(secret_scan.windows(long, [(0, 200)])[0]) == 7
 
 
 def test_quality(spark):
