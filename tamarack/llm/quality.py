@@ -2,7 +2,8 @@
 
 Statistics of a whole text (shares of kinds of bytes, word and line repetition, entropy, lengths) are mapped to
 cosines that approximate a Gaussian kernel. The normal equations are summed in each partition and then over
-partitions; the ridge score is calibrated to a probability by isotonic regression over a fixed grid of scores.
+partitions; the ridge score is calibrated to a probability by isotonic regression over a fixed grid of scores. Only
+labelled rows are measured for the fit; every text is then measured and scored in one pass.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import bundled, durable, piece_hashes, slices, unbundled, utf8_view
 
-#: Cosines, inverse kernel width, ridge weight, cells of the calibration, and labelled rows used at most (more are
-#: sampled by hash; counts and statistics of documents always cover all rows).
+#: Cosines, inverse kernel width, ridge weight, cells of the calibration, and labels used at most (of more, those
+#: with the smallest hashes of their ids).
 COSINES, GAMMA, RIDGE, CELLS, LABELLED = 256, 0.05, 1e-2, 512, 200_000
 PARTS = 16
 CUT = 0.7
-#: The part of a score that ranks rows of one level.
-RANKING = 0.02
+#: How far a score may lie from its isotonic level, so that rows of one level keep the order of their ridge scores.
+TILT = 0.005
 
 _KINDS = [range(65, 91), range(97, 123), range(48, 58), [32], [10], [9, 11, 12, 13], [33, 63], [44, 46, 58, 59], [124], [35, 36, 37, 38, 42, 64, 94, 126], [39, 34, 40, 41, 45], [60, 61, 62, 91, 93, 92, 95, 96, 123, 125, 47, 43], range(128, 256), [*range(9), *range(14, 32), 127]]
 _SYMBOLIC = np.zeros(256, bool)
@@ -76,7 +77,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, offsets = utf8_view(batch.column("text"))
         for i, j in slices(offsets, 1 << 19):
             x = statistics(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.FixedSizeListArray.from_arrays(x.ravel(), STATISTICS).cast(pa.list_(pa.float64()))], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), batch.column("y").slice(i, j - i), pa.FixedSizeListArray.from_arrays(x.ravel(), STATISTICS).cast(pa.list_(pa.float64()))], ["id", "y", "x"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -112,7 +113,7 @@ class Scorer:
     """From statistics to a calibrated probability of label 1."""
 
     def __init__(self, cosines: Cosines, weights: np.ndarray):
-        self.cosines, self.weights, self.levels, self.learned = cosines, weights, None, False
+        self.cosines, self.weights, self.learned = cosines, weights, False
 
     def place(self, x: np.ndarray) -> np.ndarray:
         """Ridge scores, with -0.5 to 1.5 as 0 to 1."""
@@ -121,21 +122,32 @@ class Scorer:
     def cell(self, x: np.ndarray) -> np.ndarray:
         return np.minimum((self.place(x) * CELLS).astype(np.int64), CELLS - 1)
 
+    def calibrate(self, total: np.ndarray, weight: np.ndarray) -> None:
+        """Isotonic levels of cells; within a level a slope that keeps its mean and stays clear of its neighbours."""
+        self.levels = TILT + (1 - 2 * TILT) * isotonic(total, weight)
+        edge = np.flatnonzero(np.concatenate([[True], self.levels[1:] != self.levels[:-1], [True]]))
+        self.middle, self.slope = np.zeros(CELLS), np.zeros(CELLS)
+        for a, b in zip(edge, edge[1:]):
+            centers, w = (np.arange(a, b) + 0.5) / CELLS, weight[a:b]
+            middle = np.average(centers, weights=w) if w.sum() else centers.mean()
+            near = [abs(self.levels[a] - self.levels[k]) / 2 for k in (a - 1, b) if 0 <= k < CELLS]
+            reach = max(middle - a / CELLS, b / CELLS - middle)
+            self.middle[a:b], self.slope[a:b] = middle, min([TILT, *near]) / reach
+        self.learned = True
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         if not self.learned:
             return np.full(len(x), 0.5)
         place = self.place(x)
-        # a level is shared by many; the ridge score ranks within it
-        return (1 - RANKING) * self.levels[np.minimum((place * CELLS).astype(np.int64), CELLS - 1)] + RANKING * place
+        cell = np.minimum((place * CELLS).astype(np.int64), CELLS - 1)
+        return self.levels[cell] + self.slope[cell] * (place - self.middle[cell])
 
 
-def fit(measured: DataFrame, labels: DataFrame) -> Scorer:
-    """measured: id, x. labels: id, y (0 or 1). Four fifths of the rows fit the ridge, the others calibrate it."""
-    rows = measured.join(labels.where("id is not null and y is not null"), "id")
-    n = rows.count()
-    if n > LABELLED:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < int(1e6 * LABELLED / n))
-    rows = durable(rows.select("x", "y", (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) == 0).alias("calibrates")).repartition(PARTS))
+def fit(measured: DataFrame) -> Scorer:
+    """measured: id, y (0 or 1), x. Four fifths of the rows fit the ridge, the others calibrate it."""
+    calibrates = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) == 0
+    # dealt and sorted by what does not change between runs, so that sums don't either
+    rows = durable(measured.select("id", "x", "y", calibrates.alias("calibrates")).repartition(PARTS, "id").sortWithinPartitions("id", "y", F.xxhash64("x")))
     moments = [f(F.element_at("x", i + 1)) for i in range(STATISTICS) for f in (F.avg, F.stddev_pop)]
     got = np.array([v or 0.0 for v in rows.agg(*moments).first()]).reshape(STATISTICS, 2)
     cosines = Cosines(got[:, 0], got[:, 1])
@@ -162,11 +174,12 @@ def fit(measured: DataFrame, labels: DataFrame) -> Scorer:
     total, weight = np.zeros(CELLS), np.zeros(CELLS)
     for cell, t, w in table:
         total[cell], weight[cell] = t, w
-    # half a row of each label at the ends keeps the levels between 0 and 1
+    # half a row of each label at the ends keeps the levels apart without rows
     weight[0] += 0.5
     weight[-1] += 0.5
     total[-1] += 0.5
-    scorer.levels, scorer.learned = isotonic(total, weight), n > 0
+    if a[-1, -2] + weight.sum() > 1:  # any row at all
+        scorer.calibrate(total, weight)
     return scorer
 
 
@@ -174,42 +187,54 @@ def _held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[Scorer, DataFrame]:
-    """The scorer and the statistics of all rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    measured = durable(rows.mapInArrow(_measure, "id long, x array<double>"))
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(~_held_out(F.col("id")))
-    return fit(measured, known), measured
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Scorer:
+    """The scorer of these labels; measures labelled rows only."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~_held_out(F.col("id")))
+    # at most LABELLED rows of two numbers
+    known = known.orderBy(F.xxhash64("id", F.lit(1)), "id", "y").limit(LABELLED)
+    rows = _rows(docs, id_col, text_col).join(F.broadcast(known), "id")
+    return fit(rows.select("id", "y", "text").mapInArrow(_measure, "id long, y int, x array<double>"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """For each row: id, held_out, score (0 to 1, higher for label 1), predicted (1 from CUT on).
+    """For each row: id, held_out, score (0 to 1, the calibrated probability of label 1), predicted (1 from CUT on).
 
-    Labels of rows whose crc32(id as text) mod 4 is 2 are never learned from. Only the text decides a score: equal
-    texts get equal scores, a null text is empty. Null or conflicting labels: null ones are left out, of several for
-    one id all count. Without labels every score is 0.5. A null id is not held out. No rows give no rows.
+    Labels of rows whose crc32(id as text) mod 4 is 2 are never learned from. Only the whole text decides a score, so
+    equal texts get equal scores; a null or empty text is measured as zeros. Labels other than 0 and 1 are left out; of
+    several for one id all count. Without labels every score is 0.5. A null id is not held out. Repeated rows each get
+    a row, other columns are not looked at whatever their names, no rows give no rows.
     """
-    held_out = _held_out(F.col("id"))
-    scorer, measured = _fitted(docs, labels, id_col, text_col, label_col)
+    scorer = fitted(docs, labels, id_col, text_col, label_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scorer(_matrix(batch.column("x"))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_scores(scorer, batch))], ["id", "score"])
+
+    out = _rows(docs, id_col, text_col).mapInArrow(score, "id long, score double")
+    return out.select(F.col("id").alias(id_col), _held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
-    out = measured.mapInArrow(score, "id long, score double")
-    return out.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+def _scores(scorer: Scorer, batch: pa.RecordBatch) -> np.ndarray:
+    raw, offsets = utf8_view(batch.column("text"))
+    x = [statistics(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, 1 << 19)]
+    return scorer(np.concatenate(x)) if x else np.zeros(0)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of docs, with all their columns, that score CUT or more."""
-    scorer, _ = _fitted(docs, labels, id_col, text_col, label_col)
+    """The rows of docs, with all their columns, that score CUT or more.
+
+    Null and empty texts are scored like others. Without labels every score is 0.5 and no row stays. Repeated rows and
+    null ids are judged by their text alone, columns may have any names, no rows give no rows.
+    """
+    scorer = fitted(docs, labels, id_col, text_col, label_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8_view(batch.column("text"))
-            x = [statistics(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, 1 << 19)]
-            good = scorer(np.concatenate(x)) >= CUT if x else np.zeros(0, bool)
-            yield batch.filter(pa.array(good))
+            yield batch.filter(pa.array(_scores(scorer, batch) >= CUT, pa.bool_()))
 
     rows = bundled(docs, id_col, text_col)
     return unbundled(rows.mapInArrow(keep, rows.schema), docs.columns)

@@ -353,6 +353,8 @@ def test_quality(spark):
     held = [(truth[i], got[i].predicted) for i in truth if got[i].held_out]
     assert sum(a == b for a, b in held) / len(held) >= 0.95
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    known = [i for i in truth if got[i].held_out]
+    assert abs(sum(got[i].score for i in known) - sum(truth[i] for i in known)) / len(known) <= 0.03
     # labels of held-out rows change nothing
     flipped = labels.selectExpr("doc_id", "case when pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2 then 1 - quality else quality end as quality")
     assert {i: r.score for i, r in got.items()} == {r.doc_id: r.score for r in quality.quality_scores(docs, flipped).collect()}
@@ -369,6 +371,71 @@ def test_quality_of_odd_rows(spark, rows):
     assert quality.quality_scores(frame(spark, []), none).count() == 0
 
 
+def statistics_by_hand(text):
+    import math
+
+    raw = (text or "").encode()
+    n, count = len(raw), Counter(raw)
+    share = lambda members: math.sqrt(sum(count[b] for b in members) / max(1, n))
+    out = [share(set(kind)) for kind in quality._KINDS]
+    out += [-sum(c / n * math.log2(c / n) for c in count.values()) if n else 0, math.log1p(n), max(count.values(), default=0) / max(1, n)]
+    tail = []
+    for pattern in (rb"[^\x00-\x20]+", rb"[^\n]+"):
+        parts = re.findall(pattern, raw)
+        per = max(1, len(parts))
+        out += [sum(a == b for a, b in zip(parts, parts[1:])) / per, len(set(parts)) / per, math.log1p(sum(map(len, parts)) / per)]
+        if pattern.startswith(rb"[^\x00"):
+            tail += [sum(w[-1] in b"!#$%&*@^|~" for w in parts) / per]
+            # the byte after a word of one letter ends it
+            tail += [sum(65 <= w[0] <= 90 and (len(w) < 2 or w[1] < 97) for w in parts) / per]
+        else:
+            tail += [math.log1p(len(parts))]
+    return out + tail
+
+
+def test_quality_by_dense_algebra(spark, rows):
+    """Statistics by hand, one dense least-squares solution, isotonic levels by their min-max formula."""
+    import numpy as np
+
+    odd = [(-1, "A bb! bb! X\n\nsame line\nsame line\x01"), (-2, "ÉÉ 12 {x}"), (-3, "Z")]
+    every = rows + odd
+    y = {i: (i * 7 // 3) % 2 for i, _ in every}
+    df = frame(spark, every)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    scorer = quality.fitted(df, labels, "doc_id", "text", "quality")
+    known = [(i, t) for i, t in every if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([statistics_by_hand(t) for _, t in every])
+    raw, offsets = __import__("tamarack.llm.common", fromlist=["x"]).utf8_view(pa.array([t for _, t in every]))
+    assert np.allclose(quality.statistics(raw, offsets), x)
+    fifths = spark.createDataFrame(known, "id long, text string").selectExpr("id", "pmod(xxhash64(id, 2), 5) = 0 as c").collect()
+    apart = {r.id: r.c for r in fifths}
+    mine = np.array([statistics_by_hand(t) for _, t in known])
+    cosines = quality.Cosines(mine.mean(0), mine.std(0))
+    held = np.array([apart[i] for i, _ in known])
+    z, target = cosines(mine), np.array([y[i] for i, _ in known], float)
+    side = np.sqrt(quality.RIDGE) * np.eye(z.shape[1])
+    w = np.linalg.lstsq(np.vstack([z[~held], side]), np.concatenate([target[~held], np.zeros(len(side))]), rcond=None)[0]
+    assert np.allclose(scorer.weights, w, atol=1e-5)
+    place = np.clip((z[held] @ w + 0.5) / 2, 0, 1)
+    cell = np.minimum((place * quality.CELLS).astype(int), quality.CELLS - 1)
+    total, weight = np.bincount(cell, target[held], quality.CELLS), np.bincount(cell, minlength=quality.CELLS).astype(float)
+    weight[0] += 0.5
+    weight[-1] += 0.5
+    total[-1] += 0.5
+    mean = lambda a, b: total[a : b + 1].sum() / weight[a : b + 1].sum() if weight[a : b + 1].sum() else None
+    full = np.flatnonzero(weight)
+    for k in full:
+        level = max(min(mean(a, b) for b in full[full >= k]) for a in full[full <= k])
+        assert abs((scorer.levels[k] - quality.TILT) / (1 - 2 * quality.TILT) - level) < 1e-9
+    got = {r.doc_id: r.score for r in quality.quality_scores(df, labels).collect()}
+    everyone = cosines(x) @ w
+    for (i, _), s, p in zip(every, scorer(x), np.clip((everyone + 0.5) / 2, 0, 1)):
+        assert abs(got[i] - s) < 1e-5
+        assert abs(s - scorer.levels[min(int(p * quality.CELLS), quality.CELLS - 1)]) <= quality.TILT + 1e-9 or abs(p * quality.CELLS - round(p * quality.CELLS)) < 1e-3
+    order = np.argsort(everyone)
+    assert (np.diff(scorer(x)[order]) >= -1e-9).all()
+
+
 def test_isotonic():
     import numpy as np
 
