@@ -125,42 +125,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, kept for the longest run seen."""
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
-                have = getattr(self, name)
-                setattr(self, name, np.concatenate([have, have * np.uint64(pow(base, k, 1 << 64))]))
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-SYMBOLS = np.random.default_rng(20240229).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = sum of values[k] * BASE**k over i <= k < j, modulo 2**64."""
-    up, _ = POWERS.to(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
-
-
-def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each values[start:end], whatever its place."""
-    _, down = POWERS.to(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * M1)
-
-
 class OpenTable:
     """Numbers by 64-bit hash, with open addressing; looked up and filled for whole arrays at once."""
 

@@ -2,15 +2,19 @@
 
 A byte goes if a string of LENGTH bytes over it also starts earlier (smaller document id, or same document and earlier
 start). Equal strings have the same anchor (the smallest hash of a GRAM-byte string in them, leftmost of equals), so
-neighbouring string starts with one anchor form a run, and runs are dealt out by the anchor's hash. Runs whose whole
-context (all bytes of their strings) is equal fall into one class, of which the first keeps its bytes; this is where
-copies meet, and it is done inside each task before anything is sent. What is left, one context of each class whose
-anchor has several classes, goes to a suffix array: in suffix order, a string whose previous or next smaller position
-shares LENGTH bytes with it has a previous factor of that length.
+neighbouring string starts with one anchor form a run, and runs are dealt out by the anchor's hash: a string and its
+earlier copies always meet. A run's context is all bytes of its strings. Copies of one context are one class, known by
+a 128-bit BLAKE2b digest of the bytes, and combined inside each task before anything is sent; only the first of a class
+can hold a first occurrence, and an anchor with one class has no others.
+
+The first contexts of all classes of an anchor that has several are set end to end in corpus order, for a bucket of
+anchors at once. In the suffix array of that text the previous and the next smaller position of each string start are
+its best earlier matches; the longer common prefix with either, counted on the bytes, is its longest previous factor.
+Where it reaches LENGTH the string goes.
 
 An anchor that very many different contexts share (the edges of a passage that a large part of the corpus quotes)
 would fill one task; such anchors are found on a sample and their runs are cut into single strings, dealt out by the
-string's own hash. That changes where work is done, not the result.
+string's own digest. That changes where work is done, not the result. Buckets follow the bytes that go into them.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.llm.common import M1, M2, bundled, durable, mix64, prefix_hashes, range_hashes, slices, unbundled, utf8_view
+from tamarack.llm.common import M1, M2, bundled, durable, eights, mix64, slices, unbundled, utf8_view
 
 LENGTH, GRAM = 100, 16
 #: Bytes of text that are worked on at once; anchors are marked in 24 bits.
@@ -33,7 +37,12 @@ STEP = 1 << 19
 #: sample's runs, in different contexts, so there are at most that many.
 SAMPLE, PART, LEAST = 64, 5000, 16
 
-RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("id", "<i8"), ("ord", "<i4"), ("s", "<i8"), ("n", "<i4"), ("gone", "u1")])
+#: Suffixes are ordered by so many bytes; bytes of text for each bucket of runs, and of contexts for each suffix array.
+DEPTH, BUCKET_TEXT, BUCKET_CONTEXTS = 128, 1 << 21, 1 << 20
+#: Rounds in which smaller neighbours are looked for side by side.
+ROUNDS = 64
+
+RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<u8"), ("id", "<i8"), ("ord", "<i4"), ("s", "<i8"), ("n", "<i4"), ("gone", "u1")])
 
 
 def _words(raw: np.ndarray) -> np.ndarray:
@@ -47,10 +56,10 @@ def _words(raw: np.ndarray) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of string starts with one anchor: text number, start in raw, count, anchor hash, context hash, grams' prefix sums."""
+    """Runs of string starts with one anchor: text number, start in raw, count, anchor hash."""
     empty = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64), np.zeros(1, np.uint64)
+        return empty, empty, empty, empty.view(np.uint64)
     w = _words(raw)
     grams = w[: len(raw) - GRAM + 1] * M1 + w[8 : len(raw) - GRAM + 9] * M2
     grams ^= grams >> np.uint64(32)
@@ -79,8 +88,14 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     stop[-1] = True
     stop[:-1] = change[1:] | ~ok[1:]
     last = np.flatnonzero(ok & stop)
-    prefix = prefix_hashes(grams)
-    return np.searchsorted(offsets, start, "right") - 1, start, last - start + 1, grams[anchor[start]], range_hashes(prefix, start, last + span), prefix
+    return np.searchsorted(offsets, start, "right") - 1, start, last - start + 1, grams[anchor[start]]
+
+
+def digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 128-bit BLAKE2b digest of each raw[start:end], as two columns."""
+    data, blake = memoryview(np.ascontiguousarray(raw)), hashlib.blake2b
+    found = b"".join([blake(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, "<u8").reshape(-1, 2)
 
 
 def _pieces(raw: np.ndarray, offsets: np.ndarray):
@@ -101,13 +116,16 @@ def _table_of_runs(batch: pa.RecordBatch, overfull: np.ndarray) -> np.ndarray:
     ids, ords = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("id", "ord"))
     out = []
     for first, part, marks, at in _pieces(raw, offsets):
-        row, start, n, h, c, prefix = runs(part, marks)
+        row, start, n, h = runs(part, marks)
+        alone = np.zeros(len(h), bool)
         if len(overfull) and (cut := np.isin(h, overfull)).any():
             one = np.repeat(start[cut], n[cut]) + np.concatenate([np.arange(k) for k in n[cut]])
-            c1 = range_hashes(prefix, one, one + LENGTH - GRAM + 1)
-            row, start, n, h, c = (np.concatenate(x) for x in ((row[~cut], np.repeat(row[cut], n[cut])), (start[~cut], one), (n[~cut], np.ones(len(one), np.int64)), (h[~cut], mix64(c1)), (c[~cut], c1)))
+            alone = np.concatenate([np.zeros(int((~cut).sum()), bool), np.ones(len(one), bool)])
+            row, start, n, h = (np.concatenate(x) for x in ((row[~cut], np.repeat(row[cut], n[cut])), (start[~cut], one), (n[~cut], np.ones(len(one), np.int64)), (h[~cut], np.zeros(len(one), np.uint64))))
         t = np.zeros(len(row), RUN)
-        t["h"], t["c"], t["n"] = h, c, n
+        found = digests(part, start, start + n + LENGTH - 1)
+        t["c"], t["d"], t["n"] = found[:, 0], found[:, 1], n
+        t["h"] = np.where(alone, mix64(found[:, 0].copy()), h)
         t["id"], t["ord"], t["s"] = ids[row + first], ords[row + first], start - marks[row] + at
         out.append(t)
     return np.concatenate(out) if out else np.zeros(0, RUN)
@@ -115,9 +133,9 @@ def _table_of_runs(batch: pa.RecordBatch, overfull: np.ndarray) -> np.ndarray:
 
 def _firsts(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts by class and place; which of the sorted are the first of their class."""
-    t = t[np.lexsort((t["s"], t["ord"], t["id"], t["c"], t["h"]))]
+    t = t[np.lexsort((t["s"], t["ord"], t["id"], t["d"], t["c"], t["h"]))]
     first = np.ones(len(t), bool)
-    first[1:] = (t["h"][1:] != t["h"][:-1]) | (t["c"][1:] != t["c"][:-1])
+    first[1:] = (t["h"][1:] != t["h"][:-1]) | (t["c"][1:] != t["c"][:-1]) | (t["d"][1:] != t["d"][:-1])
     return t, first
 
 
@@ -208,55 +226,60 @@ def prefix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank[: len(text)]
 
 
-def has_previous_factor(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each of the sorted starts: does the string of that length there also begin at an earlier of them?
-
-    Places stand in suffix order, cut at that length. The previous smaller place (or, for another order of equals, the
-    next smaller) has a common prefix of that length if it lies among the equals.
-    """
-    rank = prefix_ranks(text, length)[starts]
-    order = np.lexsort((starts, rank))
-    place = starts[order] - rank[order] * np.int64(len(text) + 1)  # every class lies below the one before
-    earlier = np.empty(len(order), bool)
-    if len(order):
-        earlier[0] = False
-        earlier[1:] = np.minimum.accumulate(place)[:-1] < place[1:]
-        after = np.minimum.accumulate((starts[order] + rank[order] * np.int64(len(text) + 1))[::-1])[::-1]
-        earlier[:-1] |= after[1:] < (starts[order] + rank[order] * np.int64(len(text) + 1))[:-1]
-    out = np.empty(len(order), bool)
-    out[order] = earlier
-    return out
-
-
-def longest_previous_factors(text: bytes) -> np.ndarray:
-    """LPF[i]: the longest string that starts at i and also at an earlier place (which it may overlap).
-
-    From the suffix array, by the neighbours with smaller positions in suffix order. For texts of moderate size.
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest place before it with a smaller value (-1: none). Values differ."""
+    near = np.arange(len(values)) - 1
+    live = np.flatnonzero(near >= 0)
+    for _ in range(ROUNDS):
+        # all between a place and the one it points at are larger than its value, so pointers can be followed at once
+        live = live[values[near[live]] > values[live]]
+        near[live] = near[near[live]]
+        live = live[near[live] >= 0]
+        if not len(live):
+            return near
+    out, stack = [], [-1]
+    below = [*values.tolist(), -1]
+    for i, v in enumerate(values.tolist()):
+        while below[stack[-1]] > v:
+            stack.pop()
+        out.append(stack[-1])
+        stack.append(i)
+    return np.array(out, np.int64)
+
+
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes from a and from b on are equal, ``most`` at most and not beyond the end of the text."""
+    view, out = eights(text), np.zeros(len(a), np.int64)
+    end = np.minimum(len(text) - np.maximum(a, b), most)
+    live = np.flatnonzero(end > 0)
+    for k in range(0, most, 8):
+        x = view[a[live] + k] ^ view[b[live] + k]
+        low = x & (~x + np.uint64(1))  # the lowest bit that differs
+        out[live] = k + np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+        live = live[(x == 0) & (end[live] > k + 8)]
+        if not len(live):
+            break
+    return np.minimum(out, end)
+
+
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """For each of the sorted starts the longest string there that also begins at an earlier of them (which it may
+    overlap), up to ``most`` bytes.
+
+    In the order of their suffixes the earlier start with the longest common prefix is the previous or the next smaller
+    position.
     """
-    raw = np.frombuffer(text, np.uint8)
-    n = len(raw)
-    if not n:
+    if not len(starts):
         return np.zeros(0, np.int64)
-    length = 8
-    rank = prefix_ranks(raw, length)
-    while len(np.unique(rank)) < n and length < 2 * n + 8:
-        length *= 2
-        rank = prefix_ranks(raw, length)
-    order = np.lexsort((-np.arange(n), rank))  # a suffix that another one continues stands before it
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while max(i, j) + k < n and text[i + k] == text[j + k]:
-            k += 1
-        return k
-
-    out, stack = np.zeros(n, np.int64), []
-    for p in [*order.tolist(), -1]:
-        while stack and stack[-1][0] > p:
-            q, before = stack.pop()
-            out[q] = max(common(q, x) if x >= 0 else 0 for x in (before, p))
-        if p >= 0:
-            stack.append((p, stack[-1][0] if stack else -1))
+    rank = prefix_ranks(text, max(most, 8))[starts]
+    order = np.lexsort((starts, rank))
+    place = starts[order]
+    found = np.zeros(len(order), np.int64)
+    for near in (smaller_before(place), len(place) - 1 - smaller_before(place[::-1])[::-1]):
+        there = np.flatnonzero((near >= 0) & (near < len(place)))
+        found[there] = np.maximum(found[there], common_prefixes(text, place[there], place[near[there]], most))
+    out = np.empty(len(order), np.int64)
+    out[order] = found
     return out
 
 
@@ -271,7 +294,7 @@ def _factors(table: pa.Table) -> pa.Table:
     begin = np.cumsum(sizes) - sizes
     which = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    hit = has_previous_factor(raw, begin[which] + inside, LENGTH)
+    hit = longest_previous_factors(raw, begin[which] + inside, DEPTH) >= LENGTH
     t = np.zeros(int(hit.sum()), RUN)
     t["id"], t["ord"], t["s"], t["n"] = ids[which[hit]], ords[which[hit]], s[which[hit]] + inside[hit], 1
     t = _joined(t)
@@ -314,7 +337,8 @@ def _overfull(rows: DataFrame) -> np.ndarray:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = _table_of_runs(batch, np.zeros(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(t["h"].view(np.int64).copy()), pa.array(t["c"].view(np.int64).copy())], ["h", "c"])
+            t, first = _firsts(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t[x][first]).view(np.int64)) for x in ("h", "c")], ["h", "c"])
 
     found = rows.where(f"pmod(xxhash64(id), {SAMPLE}) = 0").mapInArrow(seen, "h long, c long").distinct().groupBy("h").agg(F.count("*").alias("contexts"))
     found = durable(found)
@@ -331,13 +355,17 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, buckets: int |
         rows = rows.withColumn("ord", F.lit(0))
     else:
         rows = durable(rows.withColumn("ord", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"), "text"))))
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = buckets or max(64, -(-size // BUCKET_TEXT))
     keyed = rows.select("id", "ord", "text")
-    sent = keyed.mapInArrow(_send(buckets, _overfull(keyed)), "bucket int, runs binary")
+    sent = keyed.mapInArrow(_send(dealt, _overfull(keyed)), "bucket int, runs binary")
     settled = durable(sent.groupBy("bucket").applyInArrow(_settle, "id long, ord int, s long, n int, key long"))
-    wanted = settled.where("key is not null").groupBy("id", "ord").agg(F.collect_list(F.struct("s", "n", "key")).alias("wanted"))
+    wanted = settled.where("key is not null")
+    size = wanted.agg(F.sum(F.col("n") + F.lit(LENGTH - 1))).first()[0] or 0
+    dealt = buckets or max(64, -(-size // BUCKET_CONTEXTS))
+    wanted = wanted.groupBy("id", "ord").agg(F.collect_list(F.struct("s", "n", "key")).alias("wanted"))
     contexts = keyed.join(wanted, ["id", "ord"]).select("id", "ord", "text", "wanted").mapInArrow(_contexts, "key long, id long, ord int, s long, n int, context binary")
-    factors = contexts.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(_factors, "id long, ord int, s long, n int")
+    factors = contexts.withColumn("bucket", F.pmod("key", F.lit(dealt))).groupBy("bucket").applyInArrow(_factors, "id long, ord int, s long, n int")
     gone = settled.where("key is null").select("id", "ord", "s", "n").union(factors)
     gone = gone.groupBy("id", "ord").agg(F.collect_list(F.struct("s", "n")).alias("found"))
     # the text once only: in the struct there are the other columns
@@ -352,14 +380,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes; a null text is empty and loses nothing. Rows are ordered by id, rows of one id by their
     text's hash and then in any order (of repeated rows the first keeps its bytes), null ids last. Texts shorter than
-    LENGTH are never touched and give no source either, as matches don't cross texts. ``kept`` may end inside a
-    character. Other columns are not looked at. An empty table gives no rows.
+    LENGTH are never touched and give no source either, as matches don't cross texts; very long texts are worked on in
+    overlapping parts. ``kept`` may end inside a character. Other columns, whatever their names, are not looked at. An
+    empty table gives no rows.
     """
     out = _without_repeats(docs.select(id_col, text_col), id_col, text_col, buckets)
     return out.select(F.col("row").getField(id_col).cast("long").alias(id_col), "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256", "span_starts", "span_ends", "kept")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """The rows of docs with all their columns and the bytes left as text (a character that was cut goes as a whole)."""
+    """The rows of docs with all their columns and the bytes left as text (a character that was cut goes as a whole).
+
+    A null text becomes an empty one, null ids stay and count as last, of repeated rows the first keeps its text and
+    the others are left with an empty one. Columns may have any names. An empty table gives no rows.
+    """
     out = _without_repeats(docs, id_col, text_col, buckets)
     return unbundled(out, docs.columns, **{text_col: F.col("kept_text")})
