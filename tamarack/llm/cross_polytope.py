@@ -20,7 +20,7 @@ from tamarack.llm.common import durable
 from tamarack.llm.vectors import grid, matrix, ranked, usable
 
 #: Tables, and buckets that a query looks into in each: so many, and so large a part of the axes at least.
-TABLES, PROBES, SHARE = 8, 12, 3 / 8
+TABLES, PROBES, SHARE = 5, 12, 7 / 16
 BLOCK_ROWS, BLOCK_QUERIES = 512, 256
 
 
@@ -39,6 +39,7 @@ def axes(x: np.ndarray, table: int, seed: int = 1) -> np.ndarray:
     width = 1 << max(0, x.shape[1] - 1).bit_length()
     signs = np.random.default_rng([seed, table, width]).choice([-1.0, 1.0], (3, width))
     y = np.zeros((len(x), width))
+    x = x / np.abs(x).max(1, keepdims=True)  # so that no square is too large or too small
     y[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     for s in signs:
         y = hadamard(y * s)
@@ -63,6 +64,20 @@ def _placed(probes: int, tables: int, share: float = 0):
     return place
 
 
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of one vector to many; where squares would leave the range of doubles, by way of the largest part."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt(((x - q) ** 2).sum(1))
+    odd = np.flatnonzero(~((out > 1e-140) & (out < 1e140)))
+    if len(odd):
+        half = x[odd] / 2 - q / 2
+        largest = np.abs(half).max(1)
+        part = half / np.where(largest > 0, largest, 1)[:, None]
+        with np.errstate(over="ignore"):  # a distance above all doubles is infinite
+            out[odd] = 2 * (largest * np.sqrt((part * part).sum(1)))
+    return out
+
+
 def _nearest(k: int):
     def nearest(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = ([], [], [])
@@ -70,16 +85,25 @@ def _nearest(k: int):
             dim = queries.column("dim")[0].as_py()
             q, x = matrix(queries.column("v"), dim), matrix(rows.column("v"), dim)
             qid, xid = queries.column("id").to_numpy(), rows.column("id").to_numpy()
-            norm = (x * x).sum(1)
+            size = np.abs(x).max(1)
+            plain = ((size < 1e70) & (size > 1e-70)).all()
+            norm = (x * x).sum(1) if plain else None
             for at in range(0, len(q), 256):
-                rough = norm - 2 * q[at : at + 256] @ x.T
-                for i, d in enumerate(rough, at):
-                    d[xid == qid[i]] = np.inf
-                    m = min(k, len(d))
-                    edge = np.partition(d, m - 1)[m - 1]
-                    slack = 1e-9 * (1 + abs(edge) + (q[i] * q[i]).sum())
-                    near = np.flatnonzero((d <= edge + slack) & np.isfinite(d))
-                    exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                some = q[at : at + 256]
+                quick = plain and np.abs(some).max() < 1e70
+                rough = norm - 2 * some @ x.T if quick else None
+                for i in range(at, at + len(some)):
+                    mine = xid == qid[i]
+                    if quick:
+                        d = rough[i - at]
+                        d[mine] = np.inf
+                        m = min(k, len(d))
+                        edge = np.partition(d, m - 1)[m - 1]
+                        slack = 1e-9 * (1 + abs(edge) + (q[i] * q[i]).sum())
+                        near = np.flatnonzero((d <= edge + slack) & ~mine)
+                    else:
+                        near = np.flatnonzero(~mine)
+                    exact = distances(q[i], x[near])
                     first = np.lexsort((xid[near], exact))[:k]
                     out[0].append(np.full(len(first), qid[i]))
                     out[1].append(xid[near[first]])
@@ -95,13 +119,13 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
 
     Vectors that are null, empty, all zero or hold null or non-finite components, and null ids, take no part; only
     vectors of one length are compared. A row with the query's own id is no candidate. Ties go to the smaller id; of
-    rows with one id the nearest counts, once. A query has fewer than k rows only if there are no more candidates. No
-    rows give no rows.
+    rows with one id the nearest counts, once. A query has fewer than k rows only if there are no more candidates.
+    Other columns, whatever their names, are not looked at. No rows give no rows.
     """
     nonzero = F.exists("v", lambda x: x != 0)
     rows, asked = (usable(x, id_col, vector_col).where(nonzero) for x in (vectors, queries))
-    kinds = "cell int, dim int, id long, v array<double>"
-    left, right = asked.mapInArrow(_placed(probes, tables, SHARE), kinds), rows.mapInArrow(_placed(1, tables), kinds)
+    kinds = lambda df: f"cell int, dim int, id long, v {df.schema['v'].dataType.simpleString()}"
+    left, right = asked.mapInArrow(_placed(probes, tables, SHARE), kinds(asked)), rows.mapInArrow(_placed(1, tables), kinds(rows))
     # copies of one vector shrink so well that they would pass for small enough to broadcast
     found = durable(_best(left.hint("merge"), right.hint("merge"), ["cell", "dim"], k))
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))

@@ -10,9 +10,12 @@ from pyspark.sql.window import Window
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id (long), v (array<double>) and dim of rows with an id whose vector has components, all of them finite."""
-    v = F.col(vector_col).cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """id (long), v (array<float> if it is that, else array<double>) and dim of rows with an id whose vector has
+    components, all of them finite."""
+    v = F.col(vector_col)
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0").where(F.coalesce(finite, F.lit(False))).withColumn("dim", F.size("v"))
 
 

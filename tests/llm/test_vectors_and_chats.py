@@ -69,10 +69,14 @@ def test_rotation_keeps_length():
     assert reach.shape == (5, 16) and np.allclose((reach[:, :8] ** 2).sum(1), 1)
 
 
-@pytest.mark.parametrize("block", [16384, 50])
-def test_products(spark, monkeypatch, block):
-    monkeypatch.setattr(va_topk, "BLOCK_ROWS", block)
-    monkeypatch.setattr(va_topk, "BLOCK_QUERIES", max(7, block // 10))
+@pytest.mark.parametrize("block, bits", [(16384, 6), (50, 2)])
+def test_products(spark, monkeypatch, block, bits):
+    """Also with few cells, several blocks of queries and many sifted chunks."""
+    monkeypatch.setattr(va_topk, "ROWS", block)
+    monkeypatch.setattr(va_topk, "QUERIES", max(7, block // 10))
+    monkeypatch.setattr(va_topk, "CHUNKS", 2)
+    monkeypatch.setattr(va_topk, "BLOCK_BYTES", block * 10)
+    monkeypatch.setattr(va_topk.Cells.__init__, "__defaults__", (bits,))
     x = vectors(300)
     df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)] + ODD)
     got = va_topk.top_products(df, df.where("vec_id % 20 = 0"), 20).collect()
@@ -85,6 +89,36 @@ def test_products(spark, monkeypatch, block):
     assert va_topk.top_products(frame(spark, []), frame(spark, [])).count() == 0
 
 
+def test_products_of_rows_with_one_id(spark):
+    """Several vectors of one id count once, with the best; 25 of them don't hide others."""
+    x = vectors(40, 4, 3)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (v * 1.5).tolist()) for v in x[:25]]
+    got = va_topk.top_products(frame(spark, rows), frame(spark, rows[:3]), 5).collect()
+    w = np.floor(64 * np.array([v for _, v in rows])).astype(int)
+    for q in range(3):
+        best = {}
+        for (i, _), s in zip(rows, (w @ w[q]).tolist()):
+            if i != q:
+                best[i] = max(s, best.get(i, s))
+        want = sorted(best.items(), key=lambda t: (-t[1], t[0]))[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(n, i, s) for n, (i, s) in enumerate(want, 1)]
+
+
+def test_large_numbers(spark):
+    """Products of 2**60 are exact, larger ones raise; distances hold up to the range of doubles."""
+    big = [(0, [2.0**23, 2.0**23 + 0.5]), (1, [2.0**23, 1.0]), (2, [-(2.0**23), 2.0**23]), (3, [2.0**23 - 0.25, 2.0**23])]
+    got = va_topk.top_products(frame(spark, big), frame(spark, big), 3).collect()
+    w = [[int(64 * c) for c in v] for _, v in big]
+    assert {(r.query_id, r.vec_id): r.score for r in got} == {(i, j): sum(a * b for a, b in zip(w[i], w[j])) for i in range(4) for j in range(4) if i != j}
+    for huge in (1e18, 1e16):
+        rows = frame(spark, [(0, [huge, huge]), (20, [huge, 1.0])])
+        with pytest.raises(OverflowError):
+            va_topk.top_products(rows, rows, 2)
+    rows = frame(spark, [(0, [1e200, 0.0]), (1, [1e200, 3e200]), (2, [1e-200, 0.0]), (3, [1e-200, 2e-200]), (4, [1e-3, 1.0])])
+    got = {(r.query_id, r.vec_id): r.score for r in cross_polytope.nearest_neighbours(rows, rows, 4).collect()}
+    assert math.isclose(got[0, 1], 3e200) and math.isclose(got[3, 2], 2e-200) and len(got) == 20
+
+
 def test_few_rows(spark):
     df = frame(spark, [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [1.0, 2.0])])
     assert sorted((r.query_id, r.rank, r.vec_id) for r in va_topk.top_products(df, df, 20).collect()) == [(0, 1, 20), (20, 1, 0)]
