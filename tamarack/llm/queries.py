@@ -69,22 +69,27 @@ ORACLES: dict[str, str] = {
         b AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
                      list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
         r AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1]), 4294967295), 4294967295) AS text_crc32 FROM b, crc),
-        p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY text_crc32, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, sum(size) OVER ()::BIGINT AS total FROM r),
+        p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY text_crc32, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, sum(size) OVER ()::BIGINT AS total, max(size) OVER () AS largest FROM r),
         g AS (SELECT *, count(*) OVER (PARTITION BY text_crc32, size) * size AS group_bytes, min(first) OVER (PARTITION BY text_crc32, size) AS group_first FROM p),
-        m AS (SELECT *, CASE WHEN group_bytes * 40 <= 0.01 * total THEN group_first * 2 + group_bytes ELSE first * 2 + size END AS middle FROM g),
+        m AS (SELECT *, CASE WHEN group_bytes * 40 <= 0.01 * total OR group_bytes <= largest THEN group_first * 2 + group_bytes ELSE first * 2 + size END AS middle FROM g),
         s AS (SELECT *, least(39, (middle * 40) // (2 * total))::INTEGER AS shard FROM m)
         SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY text_crc32, size, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s""",
     "op7_quotation_linking": """
-        WITH RECURSIVE m AS (SELECT conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
-        l AS (SELECT conv_id, turn, unnest(lines) AS line FROM m),
-        p AS (SELECT conv_id, turn, line, regexp_extract(line, '^((?:[ \\t]*>)+)', 1) AS mark FROM l),
-        n AS (SELECT conv_id, turn, length(mark) - length(replace(mark, '>', '')) AS level,
-                     lower(trim(regexp_replace(substr(line, length(mark) + 1), '[ \\t]+', ' ', 'g'))) AS said FROM p),
-        o AS (SELECT conv_id, said, min(turn) AS original FROM n WHERE level = 0 AND said <> '' GROUP BY conv_id, said),
-        v AS (SELECT n.conv_id, n.turn, o.original, count(*) AS votes FROM n JOIN o ON n.conv_id = o.conv_id AND n.said = o.said
-              WHERE n.level = 1 AND o.original < n.turn GROUP BY ALL),
-        r AS (SELECT conv_id, turn, original, votes FROM v
-              QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY votes DESC, original DESC) = 1),
+        WITH RECURSIVE m AS (SELECT row_number() OVER () AS message, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+        l AS (SELECT message, conv_id, turn, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        k AS (SELECT *, regexp_extract(line, '^((?:[ \\t]*>)+)', 1) AS mark FROM l),
+        n AS (SELECT message, conv_id, turn, i, length(mark) - length(replace(mark, '>', '')) AS level,
+                     lower(trim(regexp_replace(regexp_replace(substr(line, length(mark) + 1), '[\\x01\\x02]', '', 'g'), '[ \\t]+', ' ', 'g'))) AS said FROM k),
+        b AS (SELECT *, CASE WHEN lag(level) OVER each IS DISTINCT FROM level OR lag(said) OVER each = '' THEN 1 ELSE 0 END AS begins FROM n WINDOW each AS (PARTITION BY message ORDER BY i)),
+        p AS (SELECT * FROM (SELECT *, sum(begins) OVER (PARTITION BY message ORDER BY i) AS passage FROM b) WHERE said <> ''),
+        g AS (SELECT message, conv_id, turn, level, passage, string_agg(said, chr(10) ORDER BY i) AS body, count(*) AS n FROM p GROUP BY message, conv_id, turn, level, passage),
+        o AS (SELECT conv_id, said, min(turn) AS original FROM (SELECT conv_id, turn, body AS said FROM g WHERE level = 0 UNION ALL SELECT conv_id, turn, said FROM p WHERE level = 0) GROUP BY conv_id, said),
+        w AS (SELECT g.*, o.original FROM g LEFT JOIN o ON o.conv_id = g.conv_id AND o.said = g.body AND o.original < g.turn WHERE g.level > 0),
+        v AS (SELECT conv_id, turn, level, original, sum(n) AS votes FROM (SELECT conv_id, turn, level, original, n FROM w WHERE original IS NOT NULL
+              UNION ALL SELECT p.conv_id, p.turn, p.level, o.original, 1 FROM w JOIN p ON p.message = w.message AND p.passage = w.passage JOIN o ON o.conv_id = p.conv_id AND o.said = p.said AND o.original < p.turn
+              WHERE w.original IS NULL) GROUP BY conv_id, turn, level, original),
+        r AS (SELECT conv_id, turn, original, votes::BIGINT AS votes FROM v
+              QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, votes DESC, original DESC) = 1),
         up AS (SELECT conv_id, turn, original AS above FROM r
                UNION ALL SELECT up.conv_id, up.turn, r.original FROM up JOIN r ON r.conv_id = up.conv_id AND r.turn = up.above),
         root AS (SELECT conv_id, turn, min(above) AS root FROM up GROUP BY conv_id, turn),

@@ -226,7 +226,8 @@ def _encode(path: str, with_ids: bool):
                 columns = [batch.column("id").slice(i, j - i), pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64())]
                 decoded = [encoder.vocabulary.decode(x) for x in found]
                 columns.append(pa.array([zlib.crc32(x) for x in decoded], pa.int64()))
-                columns.append(pa.array([x == part[a:b].tobytes() for x, a, b in zip(decoded, marks, marks[1:])], pa.bool_()))
+                whole = batch.column("whole").slice(i, j - i).to_numpy(zero_copy_only=False)
+                columns.append(pa.array([bool(w) and x == part[a:b].tobytes() for x, a, b, w in zip(decoded, marks, marks[1:], whole)], pa.bool_()))
                 names = ["id", "n_tokens", "ids_crc32", "decoded_crc32", "round_trip"]
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())))
@@ -240,24 +241,30 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """For each row: id, n_tokens, ids_crc32, decoded_crc32, round_trip (decoding gives the text), and the ids if asked.
 
     The ids are those of the library for this model (no special tokens). The character U+2581 is a blank to the model,
-    so a text with it is encoded with blanks in its place. Null and empty texts have no ids. Repeated rows each get a
-    row, null ids stay null, other columns are not looked at, no rows give no rows.
+    so a text with it is encoded with blanks in its place, and decoding does not give it back. Whole texts are encoded,
+    however long. Null and empty texts have no ids. Repeated rows each get a row, null ids stay null, other columns,
+    whatever their names, are not looked at, no rows give no rows.
     """
-    text = F.replace(F.col(text_col).cast("string"), F.lit(SPACE), F.lit(" "))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.replace(text, F.lit(SPACE), F.lit(" ")).alias("text"), (~F.coalesce(F.contains(text, F.lit(SPACE)), F.lit(False))).alias("whole"))
     kinds = "id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     return rows.mapInArrow(_encode(model_path, with_ids), kinds).withColumnRenamed("id", id_col)
 
 
-def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """The rows with a column text: the text of their ids; null ids give a null text."""
+def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """The rows with the text of their ids in ``text_col``, which replaces a column of that name.
+
+    Null ids give a null text, no ids an empty one; an id outside the vocabulary raises. Bytes that are no UTF-8 become
+    U+FFFD. Repeated rows stay, other columns stay as they are, no rows give no rows.
+    """
+    others = [c for c in encoded.columns if c != text_col]
+    rows = encoded.select(F.struct(*others).alias("row"), F.col(ids_col).cast("array<long>").alias("ids"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _encoder(model_path).vocabulary
         for batch in batches:
-            ids = batch.column(ids_col)
-            texts = [vocabulary.decode(x.values.to_numpy().astype(np.int64)).decode("utf-8", "replace") if x.is_valid else None for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded_text"])
+            texts = [vocabulary.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)).decode("utf-8", "replace") if x.is_valid else None for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(decode, f"{kinds}, decoded_text string").withColumnRenamed("decoded_text", "text")
+    out = rows.mapInArrow(decode, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in others), F.col("text").alias(text_col))

@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.llm.common import durable
+from tamarack.llm.common import durable, spread_join
 
 ROW_OVERHEAD = 16
-#: A group of equal texts stays whole while it is smaller than this part of a shard; a larger one may be cut.
-WHOLE_GROUP = 0.01
+#: Shards may differ by the largest row, which nothing can cut, or by this part of a shard if that is more.
+IMBALANCE = 0.01
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = ROW_OVERHEAD) -> DataFrame:
     """Deals rows into shards 0 to n_shards - 1, contiguous in the order (crc32 of the text, size, id).
 
     Returns id, size, text_crc32, shard, slot (0, 1, ... in each shard). Equal texts are neighbours in that order; a
-    group of them is kept in one shard unless it outgrows a hundredth of a shard. A null text has no bytes and crc32
-    0; a null id sorts first; repeated rows each get a slot; other columns are not looked at; no rows give no rows.
+    group of them is kept in one shard unless it is larger than both the largest row and a hundredth of a shard, which
+    is how far shards may differ anyway. A very long text counts like any other. A null text has no bytes and crc32 0;
+    a null id sorts first; repeated rows each get a slot; other columns, whatever their names, are not looked at; no
+    rows give no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = ["crc", "size", "id"]
@@ -43,13 +45,13 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     )
     placed = durable(placed)
 
-    groups = placed.groupBy("crc", "size").agg(F.min("start").alias("group_start"), F.count("*").alias("copies"))
-    total = placed.agg(F.sum("size")).first()[0] or 1
-    group_bytes = F.col("copies") * F.col("size")
-    whole = group_bytes * n_shards <= F.lit(WHOLE_GROUP) * total
+    groups = durable(placed.groupBy("crc", "size").agg(F.min("start").alias("group_start"), F.count("*").alias("copies")).withColumn("group_bytes", F.col("copies") * F.col("size")))
+    total, largest, n = placed.agg(F.sum("size"), F.max("size"), F.count("*")).first()
+    total = total or 1
+    whole = (F.col("group_bytes") * n_shards <= F.lit(IMBALANCE) * total) | (F.col("group_bytes") <= F.lit(largest or 0))
     # twice the middle byte, so that all stays in whole numbers
-    middle = F.when(whole, F.col("group_start") * 2 + group_bytes).otherwise(F.col("start") * 2 + F.col("size"))
-    cut = placed.join(groups, ["crc", "size"]).withColumn("middle", middle)
+    middle = F.when(whole, F.col("group_start") * 2 + F.col("group_bytes")).otherwise(F.col("start") * 2 + F.col("size"))
+    cut = spread_join(placed, groups, ["crc", "size"], "inner", "copies", n).withColumn("middle", middle)
     cut = cut.withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"cast((middle * {n_shards}L) div {2 * total}L as int)")))
     heads = cut.groupBy("shard").agg(F.min("row").alias("head"))  # n_shards rows at most
     return cut.join(F.broadcast(heads), "shard").select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("row") - F.col("head")).alias("slot"))

@@ -231,6 +231,27 @@ def test_shards(spark, rows):
     assert sharding.shard_by_bytes(frame(spark, []), 5).count() == 0
 
 
+def test_shards_of_small_groups(spark, tmp_path):
+    """Groups no larger than the largest row stay whole, here and in SQL."""
+    import duckdb
+
+    from tamarack.llm import queries
+
+    rows = [(i, f"text {i // 3} " * 3) for i in range(300)] + [(300, "long " * 40), (301, None), (302, "")]
+    path = str(tmp_path / "documents.parquet")
+    frame(spark, rows).write.parquet(path)
+    got = queries.op5_byte_shards(spark, str(tmp_path)).collect()
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.text_crc32, r.size].add(r.shard)
+    assert all(len(x) == 1 for x in shards.values())
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{path}/*.parquet'")
+    columns = sorted(got[0].asDict())
+    want = db.execute(f"select {', '.join(columns)} from ({queries.ORACLES['op5_byte_shards']})").fetchall()
+    assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got))) == sorted(map(repr, want))
+
+
 def test_sentencepiece(spark, rows):
     import sentencepiece
 
@@ -240,9 +261,11 @@ def test_sentencepiece(spark, rows):
     text = dict(rows)
     for r in encoded.collect():
         assert r.ids == sp.encode(text[r.doc_id] or "") and r.n_tokens == len(r.ids)
-        assert r.round_trip
+        assert r.round_trip == ("▁" not in (text[r.doc_id] or ""))
     for r in sentencepiece_sa.decode_ids(encoded, PIECE_MODEL).collect():
         assert r.text == (text[r.doc_id] or "").replace("▁", " ")
+    clash = sentencepiece_sa.decode_ids(encoded.selectExpr("ids", "'old' as text", "doc_id as row"), PIECE_MODEL)
+    assert clash.columns == ["ids", "row", "text"] and "old" not in {r.text for r in clash.collect()}
     assert sentencepiece_sa.encode_texts(frame(spark, []), PIECE_MODEL).count() == 0
 
 

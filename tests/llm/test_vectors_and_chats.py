@@ -138,6 +138,14 @@ CHATS = [
     (None, 0, "user", "> lost"),
     (None, None, "user", ""),
     (3, None, "user", "> z\n"),
+    (4, 0, "user", "yes\nI agree"),
+    (4, 1, "user", "no\n\nyes"),
+    (4, 2, "user", "yes\nbut only on Mondays\n\nand so on"),
+    (4, 3, "user", "> Yes\n> but only  on mondays\n\n> and so on\nwhy?"),
+    (4, 4, "user", ">> yes\n>> and so on\n> why?\n> no\n>> I agree\nnested"),
+    (4, 5, "user", ">> yes\n>> but only on mondays\nonly nested"),
+    (4, 6, "user", "> no\n>\n> yes\nsplit by a blank"),
+    (4, 6, "user", "> no\n>\n> yes\nsplit by a blank"),
     *[(9, t, "user", (f"> line {t - 1}\n" if t else "") + f"line {t}\n" + "same line") for t in range(40)],
 ]
 
@@ -154,6 +162,8 @@ def test_chats(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
     replies = {(r.conv_id, r.turn): r.reply_to for r in got.collect()}
     assert (replies[1, 1], replies[1, 2], replies[1, 3], replies[2, 0], replies[9, 39]) == (0, 1, 0, None, 38)
+    # a passage belongs to who says all of it, not to who says its first line first
+    assert [replies[4, t] for t in range(7)] == [None, None, None, 2, 3, 2, 1]
     assert chat_quotes.linked_conversations(df.where("false")).count() == 0
 
 
