@@ -113,6 +113,21 @@ def without_repeats(rows, length=100):
     return out
 
 
+def without_repeats_text(rows, length=100):
+    """The texts that are left; a character that was cut goes as a whole."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            s = b[p : p + length]
+            if s in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(s)
+        out[i] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
 def test_repeats(spark, rows):
     got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == without_repeats(rows)
