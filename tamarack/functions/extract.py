@@ -114,40 +114,77 @@ def heading_zone(column: str | Column = "text") -> Column:
     return out
 
 
+#: Shapes of words that change from page to page, by what stands for them.
+_CHANGING = (
+    ("URL", r"^[a-z][a-z0-9+.-]*://\S+$"),
+    ("HOST", r"^www\.[a-z0-9.-]+$"),
+    ("DATE", r"^(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2})$"),
+    ("TIME", r"^\d{1,2}(?::\d{2}){1,2}$"),
+    ("DOCID", r"^\p{L}{2,6}(?:[-–—]\w+)+[-–—]\d+$"),
+    ("PAGE", r"^\d+/\d+$"),
+)
+KEY_LENGTH = 240
+
+
 def repeated_key(column: str | Column) -> Column:
-    """Text of a header or footer with links, names, dates, times and page numbers made alike."""
-    c = F.lower(F.col(column) if isinstance(column, str) else column)
-    for pattern, new in (
-        (r"https?://\S+", "URL"),
-        (r"\bwww\.[a-z0-9.-]+\b", "HOST"),
-        (r"^\d{1,3}(\s+|(?=[a-z]{3}))", ""),
-        (r"\b[a-z]{2,6}[-–—]\w+[-–—]\d{4}[-–—]\d+\b", "DOCID"),
-        (r"\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}", "DATE"),
-        (r"\d{1,2}:\d{2}(:\d{2})?", "TIME"),
-        (r"\bpage\s*\d+\b", "PAGE"),
-        (r"\d+\s*/\s*\d+", "PAGE"),
-        (r"\s+", " "),
-    ):
-        c = F.regexp_replace(c, pattern, new)
-    return F.substring(F.trim(c), 1, 240)
+    """Text of a header or footer, word by word, with links, names, dates, times and page numbers made alike.
+
+    A number that opens the text is taken for a page number and dropped, one after "page" (or "n of m") with its word.
+    """
+    c = F.lower(F.trim(F.col(column) if isinstance(column, str) else column))
+    words = F.filter(F.split(F.regexp_replace(c, r"(\d)\s*/\s*(?=\d)", "$1/"), r"\s+"), lambda w: w != "")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[(\[|]+|[)\],;|]+$", ""))
+
+    def made_alike(w: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(bare, i - 1))
+        after = F.get(bare, i + 1)
+        number = w.rlike(r"^\d+$")
+        out = F.when(number & (i == 0) & w.rlike(r"^\d{1,3}$"), F.lit(""))
+        out = out.when(number & (before == "page"), F.lit("")).when((w == "page") & after.rlike(r"^\d+$"), F.lit("PAGE"))
+        for name, shape in _CHANGING:
+            out = out.when(w.rlike(shape), F.lit(name))
+        # a page number that the text layer ran together with the first word
+        glued = (i == 0) & w.rlike(r"^\d{1,3}\p{L}{3}")
+        return out.when(glued, F.regexp_replace(w, r"^\d+", "")).otherwise(w)
+
+    alike = F.filter(F.transform(bare, made_alike), lambda w: w != "")
+    return F.substring(F.array_join(alike, " "), 1, KEY_LENGTH)
+
+
+def repeated_blocks(blocks: DataFrame, doc_col: str, page_col: str, text_col: str = "text", least: int = 2) -> DataFrame:
+    """Headers and footers: doc, key and pages of texts that stand on several pages of a document."""
+    keyed = blocks.select(F.col(doc_col).alias("doc"), F.col(page_col).alias("page"), repeated_key(text_col).alias("key")).where("key <> ''")
+    return keyed.groupBy("doc", "key").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least)
 
 
 def _typed(values: Column, kind: str) -> Column:
     return F.transform(values, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("value")))
 
 
-def observables(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+def _of_interest(text: Column) -> Column:
+    """The words of a text that any shape could match: with a digit, an at sign, a scheme or a dot inside.
+
+    No shape spans a blank but after the start of a line, so words with a line's end stay too.
+    """
+    return F.array_join(F.filter(F.split(text, "[ \t]+"), lambda w: w.rlike(r"[0-9@\n]|\w\.\w|://|\w/\w|[a-fA-F]{32}")), " ")
+
+
+def observables(texts: DataFrame, id_col: str, text_col: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Typed observables of each text: id, type, value, occurrences; the longer shape takes what the shorter would.
 
     An address with a port counts as ip_port and as ip. Domains are told by their shape, so names of files may be some.
+    With ``kinds`` only these are returned; shapes that come after all of them are not looked for.
     """
-    rows = texts.select(F.col(id_col).alias("id"), refanged(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    for kind, pattern in SHAPES.items():
+    wanted = tuple(SHAPES) if kinds is None else kinds
+    last = max(list(SHAPES).index(k) for k in wanted)
+    rows = texts.select(F.col(id_col).alias("id"), _of_interest(refanged(F.coalesce(F.col(text_col), F.lit("")))).alias("text"))
+    shapes = dict(list(SHAPES.items())[: last + 1])
+    for kind, pattern in shapes.items():
         there = F.col("text").rlike(NEEDED[kind]) if kind in NEEDED else F.lit(True)
         rows = rows.withColumn(f"of_{kind}", F.when(there, _typed(F.regexp_extract_all("text", F.lit(f"({pattern})")), kind)))
         if kind in ("url", "email", "domain", "cidr", "sha256", "sha1"):
             rows = rows.withColumn("text", F.when(F.size(f"of_{kind}") > 0, F.regexp_replace("text", pattern, " ")).otherwise(F.col("text")))
-    found = [F.coalesce(f"of_{kind}", F.array().cast("array<struct<type:string,value:string>>")) for kind in SHAPES]
+    found = [F.coalesce(f"of_{kind}", F.array().cast("array<struct<type:string,value:string>>")) for kind in wanted]
     every = rows.select("id", F.explode(F.concat(*found)).alias("o"))
     value = F.when(F.col("o.type").isin("cve", "technique"), F.upper("o.value")).when(F.col("o.type") == "url", F.regexp_replace("o.value", r"[.,;:]+$", "")).when(F.col("o.type") == "md5", F.lower(F.right("o.value", F.lit(32)))).otherwise(F.lower("o.value"))
     return every.select("id", "o.type", value.alias("value")).groupBy("id", "type", "value").agg(F.count("*").alias("occurrences"))
@@ -178,36 +215,57 @@ def candidate_value(column: str | Column) -> Column:
     )
 
 
-def membership_rule() -> Column:
-    """The first rule that decides about a candidate: struct(rule, outcome).
+#: The decision about a candidate: the first rule whose facts all hold ("-" before a fact: it does not hold).
+# fixed values: names of rules, their outcomes and their order
+MEMBERSHIP_RULES = (
+    ("R01_not_an_ioc_observable", "excluded", "excluded"),
+    ("R10_publisher_assertion", "member", "asserted"),
+    ("R20_publisher_stance", "context_only", "stance_blocked"),
+    ("R21_non_asserting_section", "context_only", "nothing_asserted"),
+    ("R22_grounded_model_context", "context_only", "model_says_context"),
+    ("R30_structured_inventory", "member", "-curated structured"),
+    ("R34_sample_hash", "member", "-curated sample_hash -operational"),
+    ("R32_grounded_model_assessment", "needs_review", "-curated model_warns"),
+    ("R31_operational_statement", "needs_review", "-curated operational"),
+    ("R33_mention_needs_review", "needs_review", "-curated"),
+    ("R40_structured_rows_uncertain_section", "needs_review", "structured"),
+    ("R41_operational_statement", "needs_review", "operational"),
+    ("R42_grounded_model_assessment", "needs_review", "model_warns model_grounded"),
+    ("R43_undecided_sample_hash", "needs_review", "sample_hash"),
+    ("R44_unresolved_section_narrative", "needs_review", "narrative"),
+    ("R50_passing_mention", "context_only", ""),
+)
+
+
+def membership_facts() -> dict[str, Column]:
+    """What the rules ask about a candidate, never null.
 
     Reads excluded, explicit, stance_blocked, sections (array), model (text), model_supported, model_applied, curated,
-    structured, operational, sample_hash, narrative.
+    structured, operational, sample_hash, narrative. An unsaid model_supported or model_applied counts as said for a
+    warning and as not said for anything else.
     """
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    escalates = F.coalesce(F.col("model"), F.lit("")).isin("malicious", "suspicious") & F.coalesce(F.col("model_supported"), F.lit(True)) & F.coalesce(F.col("model_applied"), F.lit(True))
-    rules = (
-        (yes("excluded"), "R01_not_an_ioc_observable", "excluded"),
-        (yes("explicit"), "R10_publisher_assertion", "member"),
-        (yes("stance_blocked"), "R20_publisher_stance", "context_only"),
-        ((F.size("sections") > 0) & F.forall("sections", lambda s: s == "non_asserting"), "R21_non_asserting_section", "context_only"),
-        ((F.col("model") == "context_only") & yes("model_applied"), "R22_grounded_model_context", "context_only"),
-        (~yes("curated") & yes("structured"), "R30_structured_inventory", "member"),
-        (~yes("curated") & yes("sample_hash") & ~yes("operational"), "R34_sample_hash", "member"),
-        (~yes("curated") & escalates, "R32_grounded_model_assessment", "needs_review"),
-        (~yes("curated") & yes("operational"), "R31_operational_statement", "needs_review"),
-        (~yes("curated"), "R33_mention_needs_review", "needs_review"),
-        (yes("structured"), "R40_structured_rows_uncertain_section", "needs_review"),
-        (yes("operational"), "R41_operational_statement", "needs_review"),
-        (escalates & yes("model_supported"), "R42_grounded_model_assessment", "needs_review"),
-        (yes("sample_hash"), "R43_undecided_sample_hash", "needs_review"),
-        (yes("narrative"), "R44_unresolved_section_narrative", "needs_review"),
-    )
-    out = None
-    for condition, rule, outcome in rules:
-        this = F.struct(F.lit(rule).alias("rule"), F.lit(outcome).alias("outcome"))
-        out = F.when(condition, this) if out is None else out.when(condition, this)
-    return out.otherwise(F.struct(F.lit("R50_passing_mention").alias("rule"), F.lit("context_only").alias("outcome")))
+    flag = lambda name, unsaid=False: F.coalesce(F.col(name), F.lit(unsaid))
+    model = F.coalesce(F.col("model"), F.lit(""))
+    same = {name: flag(name) for name in ("excluded", "stance_blocked", "curated", "structured", "operational", "sample_hash", "narrative")}
+    silent = F.filter("sections", lambda s: s == "non_asserting")
+    return same | {
+        "asserted": flag("explicit"),
+        "nothing_asserted": F.coalesce((F.size("sections") > 0) & (F.size(silent) == F.size("sections")), F.lit(False)),
+        "model_says_context": (model == "context_only") & flag("model_applied"),
+        "model_warns": model.isin("malicious", "suspicious") & flag("model_supported", True) & flag("model_applied", True),
+        "model_grounded": flag("model_supported"),
+    }
+
+
+def membership_rule() -> Column:
+    """The first rule that decides about a candidate: struct(rule, outcome)."""
+    facts, decisions = membership_facts(), []
+    for rule, outcome, needs in MEMBERSHIP_RULES:
+        holds = F.lit(True)
+        for need in needs.split():
+            holds = holds & (~facts[need[1:]] if need.startswith("-") else facts[need])
+        decisions.append(F.when(holds, F.struct(F.lit(rule).alias("rule"), F.lit(outcome).alias("outcome"))))
+    return F.coalesce(*decisions)
 
 
 def scored(found: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:

@@ -495,7 +495,7 @@ def audit_search(t: Tables) -> DataFrame:
   digests AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9a-fA-F]{40}\\b')) AS v FROM one)
   SELECT doc_id AS id, type, value, count(*) AS occurrences FROM (SELECT doc_id, 'email' AS type, lower(v) AS value FROM mails UNION ALL SELECT doc_id, 'ip', lower(v) FROM ips UNION ALL SELECT doc_id, 'sha1', lower(v) FROM digests) GROUP BY ALL""")
 def observables_in_documents(t: Tables) -> DataFrame:
-    return extract.observables(t.documents, "doc_id").where("type in ('email', 'ip', 'sha1')")
+    return extract.observables(t.documents, "doc_id", kinds=("email", "ip", "sha1"))
 
 
 @query()
