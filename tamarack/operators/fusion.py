@@ -92,11 +92,15 @@ def evidence_slugs(category: str = "category", note: str = "note") -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(every)))
 
 
-def feed_slugs(t: Tables) -> DataFrame:
-    """Key, slug and source of what feeds assert: evidence, and the importer's column unless the row's own mark says it."""
-    evidence = t.evidence.select(*KEY, F.explode(evidence_slugs()).alias("slug"), "source_name")
-    stored = t.items.where("ioc_source_id is null and threat_classification is not null").select(*KEY, slug("threat_classification").alias("slug"), "source_name")
-    return evidence.union(stored.join(t.classified, [*KEY, "slug"], "left_anti")).where(F.col("slug") != UNKNOWN)
+def feed_slugs(t: Tables, wanted: list[str] | None = None) -> DataFrame:
+    """Key, slug and source of what feeds assert: evidence, and the importer's column unless the row's own mark says it.
+
+    With ``wanted`` only these slugs, looked for before anything is exploded or joined.
+    """
+    keep = (lambda c: c.isin(*wanted)) if wanted is not None else (lambda c: c != UNKNOWN)
+    evidence = t.evidence.select(*KEY, F.explode(F.filter(evidence_slugs(), keep)).alias("slug"), "source_name")
+    stored = t.items.where("ioc_source_id is null and threat_classification is not null").select(*KEY, slug("threat_classification").alias("slug"), "source_name").where(keep(F.col("slug")))
+    return evidence.union(stored.join(t.classified.where(keep(F.col("slug"))), [*KEY, "slug"], "left_anti")).where(F.col("slug") != UNKNOWN)
 
 
 def asserted_slugs(t: Tables) -> DataFrame:
@@ -105,14 +109,19 @@ def asserted_slugs(t: Tables) -> DataFrame:
     return t.classified.select(*KEY, "slug").union(legacy.join(t.classified.select(*KEY), KEY, "left_anti")).where(F.col("slug") != UNKNOWN)
 
 
-def visible_feed_slugs(t: Tables) -> DataFrame:
-    """feed_slugs without those that an override hides for the identity: for all sources, or for its own."""
-    sources = t.overrides.select("slug", folded(F.coalesce("source_name", F.lit(""))).alias("hidden"), *KEY)
+def visible_feed_slugs(t: Tables, wanted: list[str] | None = None) -> DataFrame:
+    """feed_slugs without those that an override hides for the identity: for all sources, or for its own.
+
+    What hides a slug of a row stands in one row (for all, and the sources), so the closure is planned and joined once.
+    """
+    overrides = t.overrides if wanted is None else t.overrides.where(F.col("slug").isin(*wanted))
+    sources = overrides.select("slug", folded(F.coalesce("source_name", F.lit(""))).alias("hidden"), *KEY)
     same = closure_pairs(sources.select(*KEY).distinct(), t)
-    hidden = sources.join(same, KEY).select(F.col("to_type").alias("observable_type"), F.col("to_id").alias("id"), "slug", "hidden").distinct()
-    said = feed_slugs(t).withColumn("said_by", folded("source_name"))
-    everywhere, own = hidden.where("hidden = ''").select(*KEY, "slug"), hidden.where("hidden <> ''").select(*KEY, "slug", F.col("hidden").alias("said_by"))
-    return said.join(everywhere, [*KEY, "slug"], "left_anti").join(own, [*KEY, "slug", "said_by"], "left_anti").drop("said_by")
+    hidden = sources.join(same, KEY).select(F.col("to_type").alias("observable_type"), F.col("to_id").alias("id"), "slug", "hidden")
+    hidden = hidden.groupBy(*KEY, "slug").agg(F.collect_set("hidden").alias("hidden"))
+    said = feed_slugs(t, wanted).join(hidden, [*KEY, "slug"], "left")
+    out = F.coalesce(F.array_contains("hidden", "") | F.array_contains("hidden", folded("source_name")), F.lit(False))
+    return said.where(~out).drop("hidden")
 
 
 def closure_pairs(keys: DataFrame, t: Tables) -> DataFrame:
@@ -127,7 +136,7 @@ def closure_pairs(keys: DataFrame, t: Tables) -> DataFrame:
 def classification_keys(t: Tables, slugs: list[str]) -> DataFrame:
     """Keys whose rows carry one of the slugs, after overrides."""
     wanted = [s.replace(" ", "_").replace("-", "_") for s in slugs]
-    return visible_feed_slugs(t).select(*KEY, "slug").union(asserted_slugs(t)).where(F.col("slug").isin(*wanted)).select(*KEY).distinct()
+    return visible_feed_slugs(t, wanted).select(*KEY, "slug").union(asserted_slugs(t)).where(F.col("slug").isin(*wanted)).select(*KEY).distinct()
 
 
 def effective_classifications(t: Tables) -> DataFrame:
@@ -155,3 +164,12 @@ def suppression_status(suppressions: DataFrame, now: datetime) -> DataFrame:
     at = F.lit(now).cast(suppressions.schema["expires_at"].dataType)
     state = F.when(F.col("deleted_at").isNotNull(), "deleted").when(~F.col("active"), "disabled").when(F.col("expires_at") <= at, "expired").otherwise("active")
     return suppressions.withColumn("state", state)
+
+
+def suppressed_with_files(items: DataFrame, suppressions: DataFrame, links: DataFrame, artifacts: DataFrame, now: datetime) -> DataFrame:
+    """Keys of suppressed rows and of all rows of the files that one of them belongs to, also through merges."""
+    hit = suppressed(items, suppressions, now)
+    file_of = artifacts.select("artifact_id", F.when((F.col("status") == "merged") & F.col("merged_into").isNotNull(), F.col("merged_into")).otherwise(F.col("artifact_id")).alias("file"))
+    of_rows = links.join(file_of, "artifact_id").select(*KEY, "file")
+    files = of_rows.join(hit, KEY, "left_semi").select("file").distinct()
+    return hit.union(of_rows.join(files, "file", "left_semi").select(*KEY)).distinct()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tamarack.sources.shared import numbered
 from tamarack.sources.tables import Tables
 
 KEY = ["observable_type", "id"]
@@ -55,13 +55,8 @@ def page(found: DataFrame, limit: int, cursor: tuple | None = None) -> DataFrame
 
 
 def positions(found: DataFrame, *order, name: str = "position") -> DataFrame:
-    """Dense numbers from 1 in a global order, by counts of range partitions (no single task sees all rows)."""
-    dealt = found.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
-    dealt = dealt.persist()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a partition
-    firsts = dealt.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_head")).select("_part", "_head", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
-    return dealt.join(F.broadcast(firsts), "_part").withColumn(name, F.col("_first") + F.col("_at") - F.col("_head") + 1).drop("_part", "_at", "_head", "_rows", "_first")
+    """Dense numbers from 1 in a global order."""
+    return numbered(found, *order, name=name)
 
 
 def browse(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamarack.functions.text import folded
+from tamarack.operators.identity import KEY
 from tamarack.operators.joins import graph_components
+from tamarack.sources.shared import durable
 
 
 def merged_artifacts(hashes: DataFrame) -> DataFrame:
@@ -109,9 +111,79 @@ def latest_run(runs: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def percentile(values: DataFrame, column: str, p: float) -> DataFrame:
-    """The nearest-rank percentile, exactly: the value at place ceil(n p)."""
-    n = values.where(F.col(column).isNotNull()).count()
+    """The nearest-rank percentile, exactly: the value at place ceil(n p).
+
+    Counts of range partitions tell which of them holds the place; only its distinct values are counted through.
+    """
     counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)  # distinct values only
-    place = max(1, math.ceil(n * p))
-    return counted.withColumn("upto", F.sum("c").over(w)).where(F.col("upto") >= place).agg(F.min(column).alias("value"))
+    dealt = durable(counted.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    totals = sorted((r.part, r.n) for r in dealt.groupBy("part").agg(F.sum("c").alias("n")).collect())  # a row for each partition
+    place, before = max(1, math.ceil(sum(n for _, n in totals) * p)), 0
+    here = None
+    for here, n in totals:
+        if before + n >= place:
+            break
+        before += n
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    inside = dealt.where(F.col("part") == here).withColumn("upto", upto + before)
+    return inside.where(F.col("upto") >= place).agg(F.min(column).alias("value"))
+
+
+def expiration_run(items: DataFrame, memberships: DataFrame, now: datetime, most: int) -> DataFrame:
+    """Keys and new status of the rows that one run touches: the due batch expires, then the rows' status is formed anew.
+
+    Rows that are held (suppressed, disabled, or set by hand) keep their status and are left out.
+    """
+    at = F.lit(now).cast(memberships.schema["expires_at"].dataType)
+    batch = memberships.where((F.col("status") == "active") & (F.col("expires_at") <= at)).orderBy("expires_at", "id", "feed_id").limit(most)
+    batch = durable(batch.select(*KEY, "feed_id").withColumn("_due", F.lit(True)))
+    touched = batch.select(*KEY).distinct()
+    after = memberships.join(touched, KEY, "left_semi").join(batch, [*KEY, "feed_id"], "left")
+    live = (F.col("status") == "active") & F.col("purged_at").isNull() & F.col("_due").isNull()
+    status = after.groupBy(*KEY).agg(F.bool_or(live).alias("live")).select(*KEY, F.when(F.col("live"), "active").otherwise("expired").alias("new_status"))
+    free = ~F.coalesce("status", F.lit("active")).isin("suppressed", "disabled") & ~F.coalesce("manual_status_override", F.lit(False))
+    return items.where(free).select(*KEY).join(status, KEY)
+
+
+# fixed values: names of bulk actions, outcomes and modes
+BULK_ACTIONS = ("classify", "suppress", "expire")
+SAMPLES = 20
+
+
+def bulk_outcomes(rows: DataFrame, action: str, value: str | None = None) -> DataFrame:
+    """Key and outcome of an action on each row: skipped where nothing would change, failed where the row forbids it."""
+    status = F.coalesce("status", F.lit("active"))
+    match action:
+        case "classify":
+            done, barred = F.col("threat_classification") == value, status == "disabled"
+        case "suppress":
+            done, barred = status == "suppressed", F.lit(False)
+        case "expire":
+            done, barred = status == "expired", status.isin("suppressed", "disabled")
+        case _:
+            raise ValueError(f"no bulk action {action!r}")
+    return rows.select(*KEY, F.when(F.coalesce(done, F.lit(False)), "skipped").when(barred, "failed").otherwise("succeeded").alias("outcome"))
+
+
+def outcome_summary(outcomes: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """outcome, n and the first ids of each, by a bounded list that is cut in every task."""
+    first = Window.partitionBy("outcome").orderBy("id")
+    some = outcomes.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= samples).groupBy("outcome").agg(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")).alias("samples"))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n")).join(some, "outcome")
+
+
+def execution_mode(rows: DataFrame, inline: int, most: int) -> DataFrame:
+    """mode and how far it was counted: nothing, now, as a job, or refused; never counts further than one past ``most``."""
+    n = F.col("counted")
+    mode = F.when(n == 0, "nothing").when(n <= inline, "now").when(n <= most, "job").otherwise("refused")
+    return rows.limit(most + 1).agg(F.count("*").alias("counted")).select(mode.alias("mode"), "counted")
+
+
+def catalog_conflicts(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Folded names that several entries have: name, entities (sorted), conflict."""
+    named = entities.select("entity_id", folded("entity_name").alias("name"), F.lit("name").alias("kind")).union(aliases.select("entity_id", folded("alias"), F.lit("alias")))
+    per = named.groupBy("name").agg(
+        F.array_sort(F.collect_set(F.col("entity_id").cast("string"))).alias("entities"), F.count_distinct(F.when(F.col("kind") == "name", F.col("entity_id"))).alias("names"), F.count_distinct("kind").alias("kinds")
+    )
+    conflict = F.when(F.col("names") > 1, "name_collision").when(F.col("kinds") > 1, "alias_is_name").otherwise("alias_conflict")
+    return per.where(F.size("entities") > 1).select("name", "entities", conflict.alias("conflict"))

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of an address that make the equality key of a range join.
-PREFIX = 16
+from tamarack.sources.shared import durable
 
 
 def longest_prefix(addresses: DataFrame, networks: DataFrame, address: str = "number", id_col: str = "id") -> DataFrame:
     """Each address with the longest network that strictly contains it: networks have lo, hi, bits.
 
-    Both sides meet on the first PREFIX bits; a wider network stands once for each block it covers, at most 2**PREFIX
-    times, so the join is an equality and no key is wider than a block.
+    An address stands once for each length that networks have (32 at most), cut to it; then the join is an equality on
+    length and first address, and a full network's addresses are split like any skewed key.
     """
-    block = F.explode(F.sequence(F.shiftright("lo", 32 - PREFIX), F.shiftright("hi", 32 - PREFIX)))
-    spread = networks.where("bits < 32").withColumn("block", block)
-    met = addresses.withColumn("block", F.shiftright(address, 32 - PREFIX)).join(spread, "block").where(F.col(address).between(F.col("lo"), F.col("hi")))
-    best = met.groupBy(id_col).agg(F.max(F.struct("bits", "lo")).alias("best"))
+    networks = networks.where("bits < 32").select("bits", "lo").distinct()
+    lengths = sorted(r.bits for r in networks.select("bits").distinct().collect())  # 32 rows at most
+    spread = addresses.withColumn("bits", F.explode(F.array(*(F.lit(b) for b in lengths)).cast("array<int>")))
+    spread = spread.withColumn("lo", F.expr(f"shiftleft(shiftright(cast({address} as bigint), 32 - bits), 32 - bits)"))
+    best = spread.join(networks, ["bits", "lo"]).groupBy(id_col).agg(F.max(F.struct("bits", "lo")).alias("best"))
     return best.select(id_col, F.col("best.lo").alias("network"), F.col("best.bits").alias("bits"))
 
 
@@ -47,19 +47,23 @@ def chain_ends(nodes: DataFrame, id_col: str, next_col: str, most: int = 16) ->
     return jump.select(F.col("at").alias(id_col), F.col("to").alias("end"), "steps")
 
 
-def graph_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """node and the smallest node of its component, of undirected edges (u, v); a checkpoint cuts each round."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    label = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label"))
-    for _ in range(rounds):
+def graph_components(edges: DataFrame, most: int = 1000) -> DataFrame:
+    """node and the smallest node of its component, of undirected edges (u, v).
+
+    Labels go along edges and jump to the labels of labels until nothing changes, a table for each round. Components
+    that are not done after ``most`` rounds raise an error; rounds are about the logarithm of the longest way.
+    """
+    both = durable(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = durable(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")))
+    for _ in range(most):
         near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         jumped = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = label.join(near, "node").join(jumped, "label", "left").select("node", F.least("label", "near", F.coalesce("far", "label")).alias("new"), F.col("label").alias("old"))
-        new = new.checkpoint()
+        new = durable(new)
         label = new.select("node", F.col("new").alias("label"))
         if new.where("new <> old").isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError(f"components are not complete after {most} rounds")
 
 
 def snapshot_missing(active: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:

@@ -107,10 +107,17 @@ def one_per_identity(t: Tables, rows: DataFrame) -> DataFrame:
     return a.groupBy("identity_key").agg(F.min(F.struct(order.alias("o"), "observable", "observable_type", "id", "recency", "score")).alias("best")).select("identity_key", "best.observable", "best.observable_type", "best.id", "best.recency", "best.score")
 
 
-def json_items(rows: DataFrame) -> DataFrame:
-    """A JSON object for each selected row."""
+def json_items(rows: DataFrame, timestamps: bool = True, sources: DataFrame | None = None, classification: DataFrame | None = None) -> DataFrame:
+    """A JSON object for each selected row; what is optional is left out, or joined from tables by key."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return rows.select("line", F.to_json(F.struct(F.col("line").alias("value"), F.col("observable_type").alias("type"), F.col("score").alias("confidence"), day("created_at").alias("first_seen"), day("last_seen_at").alias("last_seen"))).alias("item"))
+    parts = [F.col("line").alias("value"), F.col("observable_type").alias("type"), F.col("score").alias("confidence")]
+    if timestamps:
+        parts += [day("created_at").alias("first_seen"), day("last_seen_at").alias("last_seen")]
+    for table, name in ((sources, "sources"), (classification, "classification")):
+        if table is not None:
+            rows = rows.join(table.select(*KEY, name), KEY, "left")
+            parts.append(F.coalesce(name, F.array().cast("array<string>")).alias(name))
+    return rows.select("line", F.to_json(F.struct(*parts)).alias("item"))
 
 
 def stix_pattern() -> Column:
@@ -195,3 +202,95 @@ def refresh_mode(state: str | None, watermark_moved: bool, window_moved: bool, t
 def reconciliation_slice(rows: DataFrame, slice_: int, slices: int = 256) -> DataFrame:
     """The part of a projection that one sweep compares."""
     return rows.where(bucket("identity_key", slices) == slice_)
+
+
+@dataclass(frozen=True)
+class SourceRules:
+    """Sources that a feed takes its rows from; a row of any of them counts."""
+
+    exact: tuple[str, ...] = ()
+    prefixes: tuple[str, ...] = ()
+    includes: tuple[str, ...] = ()
+    feed_keys: tuple[str, ...] = ()
+    feed_prefixes: tuple[str, ...] = ()
+    manual: tuple[int, ...] = ()
+
+
+def of_sources(rows: DataFrame, t: Tables, rules: SourceRules) -> DataFrame:
+    """Rows whose own source, desk or active feed one of the rules names."""
+    own = F.lower(F.coalesce("source_name", F.lit("")))
+    hit = own.isin(*(x.lower() for x in rules.exact)) | F.coalesce(F.col("ioc_source_id").isin(*rules.manual), F.lit(False))
+    for p in rules.prefixes:
+        hit = hit | own.startswith(p.lower())
+    key, name = F.lower("feed_key"), F.lower("feed_name")
+    wanted = key.isin(*(x.lower() for x in rules.feed_keys))
+    for p in rules.feed_prefixes:
+        wanted = wanted | key.startswith(p.lower())
+    for part in rules.includes:
+        hit, wanted = hit | own.contains(part.lower()), wanted | name.contains(part.lower())
+    members = t.memberships.where("status = 'active'").join(t.feeds.where(wanted), "feed_id").select(*KEY).distinct().withColumn("_in", F.lit(True))
+    return rows.join(members, KEY, "left").where(hit | F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def curated(rows: DataFrame, public_ids: tuple[str, ...], listed: DataFrame | None) -> DataFrame:
+    """Rows that a curated feed lists, by public id or as keys of a table; without either there are none."""
+    if not public_ids and listed is None:
+        return rows.where(F.lit(False))
+    named = F.col("public_id").isin(*public_ids)
+    if listed is None:
+        return rows.where(named)
+    flagged = rows.join(listed.select(*KEY).distinct().withColumn("_in", F.lit(True)), KEY, "left")
+    return flagged.where(F.coalesce(named, F.lit(False)) | F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def text_digest(rows: DataFrame, types: str, window: str, limit: int) -> DataFrame:
+    """lines, content_sha256 and etag of the text of a bounded feed: its first lines, each with an end.
+
+    The limit bounds what one task puts together; feeds without one are written in chunks.
+    """
+    top = rows.orderBy(*published_order()).limit(limit)
+    order = F.struct((-F.unix_micros(F.col("recency").cast("timestamp"))).alias("a"), (-F.col("score")).alias("b"), "line")
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), "\n"), F.lit("\n"))
+    whole = top.agg(F.count("*").cast("int").alias("lines"), F.sha2(text, 256).alias("content_sha256"))
+    return whole.select("lines", "content_sha256", F.substring(F.sha2(F.concat("content_sha256", F.lit(f"|{types}|{window}|{limit}")), 256), 1, 32).alias("etag"))
+
+
+def chunk_files(rows: DataFrame, count: int) -> DataFrame:
+    """chunk_key, items, text, content_sha256 and a strong etag of every chunk; ``count`` follows the rows, so that a chunk has a bound."""
+    key = F.concat(F.lit("o:"), "observable_type", F.lit(":"), F.lower("line"))
+    text = F.concat(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n"))
+    chunks = rows.select(bucket(key, count).alias("chunk_key"), "line").groupBy("chunk_key").agg(F.count("*").alias("items"), text.alias("text"))
+    chunks = chunks.withColumn("content_sha256", F.sha2("text", 256))
+    return chunks.withColumn("etag", F.concat(F.lit('"'), F.substring("content_sha256", 1, 32), F.lit('"')))
+
+
+def write_chunks(chunks: DataFrame, folder: str) -> None:
+    """One folder for each chunk, with its text, and the manifest beside them."""
+    chunks.select("chunk_key", F.expr("rtrim('\n', text)").alias("value")).write.partitionBy("chunk_key").mode("overwrite").text(f"{folder}/chunks")
+    chunks.drop("text").write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def fingerprint(projected: DataFrame) -> DataFrame:
+    """identities, newest and sure ones of a projection: one row to compare generations by."""
+    return projected.agg(F.count_distinct("identity_key").alias("identities"), F.max("recency").alias("newest"), F.count_if(F.col("score") >= 50).alias("sure"))
+
+
+def generation_decision(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """decision: build, or skip where the fingerprint (one row each) is that of the generation before."""
+    if before is None:
+        return after.select(F.lit("build").alias("decision"))
+    was = before.select(F.struct(*before.columns).alias("was"))
+    # one row each
+    return after.select(F.struct(*before.columns).alias("is_now")).crossJoin(F.broadcast(was)).select(F.when(F.col("was").eqNullSafe(F.col("is_now")), "skip").otherwise("build").alias("decision"))
+
+
+def changes(old: DataFrame, new: DataFrame, most: int, key: str = "line") -> DataFrame:
+    """The first values, without regard to case, that stand on one side only."""
+    o, n = (x.select(F.lower(key).alias("value")).distinct() for x in (old, new))
+    both = o.withColumn("o", F.lit(1)).join(n.withColumn("n", F.lit(1)), "value", "full").where("o is null or n is null")
+    return both.select("value", F.when(F.col("o").isNull(), "added").otherwise("removed").alias("change")).orderBy("change", "value").limit(most)
+
+
+def active_source_keys(t: Tables) -> DataFrame:
+    """The keys of the feeds that a row is in now, sorted."""
+    return t.memberships.where("status = 'active'").join(t.feeds, "feed_id").groupBy(*KEY).agg(F.array_sort(F.collect_set("feed_key")).alias("sources"))

@@ -98,3 +98,60 @@ def retained(rows: DataFrame, at: str, now, days: int) -> DataFrame:
     from datetime import timedelta
 
     return rows.where(F.col(at) >= F.lit(now - timedelta(days=days)).cast(rows.schema[at].dataType))
+
+
+def counts_of(rows: DataFrame, by: list[str], column: str, words: tuple[str, ...]) -> DataFrame:
+    """For each group how many rows say each of the words, in one pass."""
+    return rows.groupBy(*by).agg(*(F.count_if(F.col(column) == w).alias(w) for w in words))
+
+
+def phase_counts(rows: DataFrame, phases: tuple[str, ...], listed: Column) -> DataFrame:
+    """Rows of each phase, and the total of those that a filter lists, in one pass."""
+    return rows.agg(*(F.count_if(F.col("phase") == p).alias(p) for p in phases), F.count_if(listed).alias("total"))
+
+
+def discovery_figures(t: Tables) -> DataFrame:
+    """Ten figures of who attributes rows: analysts, sources, both, directly, by a pulse, by several feeds, and types."""
+    analysts = t.actors.select(*KEY).distinct().withColumn("a", F.lit(True))
+    current = t.attributions.where("assertion = 'current'")
+    sources = current.groupBy(*KEY).agg(F.bool_or("direct").alias("d"), F.bool_or(~F.col("direct")).alias("p"), F.count_distinct("feed_id").alias("feeds"), F.lit(True).alias("s"))
+    rows = analysts.join(sources, KEY, "full").na.fill(False, ["a", "s", "d", "p"])
+    a, s = F.col("a"), F.col("s")
+    counted = {"analyst": a, "source": s, "both_said": a & s, "analyst_only": a & ~s, "source_only": s & ~a, "direct": F.col("d"), "pulse": F.col("p"), "several_feeds": F.col("feeds") > 1}
+    return rows.agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for n, c in counted.items()), F.count_distinct("observable_type").alias("types"))
+
+
+def usage_counters(calls: DataFrame, hit: Column, failed: Column) -> DataFrame:
+    """Nine counters of calls (day, provider, type, k, value, micros) and the rates they give; no rate without calls."""
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = calls.groupBy("day", "provider", "type").agg(
+        F.count("*").alias("lookups"), F.count_if(hit).alias("hits"), F.count_if(~hit & ~failed).alias("misses"), F.count_if(failed).alias("errors"), zero(F.sum("k")).alias("units"),
+        zero(F.sum(F.when(hit, F.col("k")))).alias("hit_units"), F.count("value").alias("timed"), zero(F.sum("micros")).alias("micros"), zero(F.max("micros")).alias("longest"),
+    )
+    share = lambda c: F.round(F.col(c) * 100 / F.nullif("lookups", F.lit(0)), 1) if isinstance(c, str) else F.round(c * 100 / F.nullif("lookups", F.lit(0)), 1)
+    return out.select("*", share("hits").alias("hit_rate"), share(F.col("lookups") - F.col("errors")).alias("success_rate"), F.round(F.col("micros") / F.nullif("timed", F.lit(0)), 1).alias("mean_micros"))
+
+
+def watchlist(watched: DataFrame, items: DataFrame, memberships: DataFrame) -> DataFrame:
+    """What people watch (user_id, id), with its status now and when it was last seen."""
+    rows = watched.join(items.select(*KEY, "observable", F.coalesce("status", F.lit("active")).alias("status")), "id")
+    seen = memberships.groupBy(*KEY).agg(F.max("last_seen_in_feed").alias("last_seen"))
+    return rows.join(seen, KEY, "left").select("user_id", "id", "observable", "status", "last_seen").distinct()
+
+
+def stats_snapshot(items: DataFrame) -> DataFrame:
+    """Rows by type, status and confidence, in one pass: what, name, n."""
+    each = F.array(
+        F.struct(F.lit("type").alias("what"), F.col("observable_type").alias("name")),
+        F.struct(F.lit("status").alias("what"), F.coalesce("status", F.lit("active")).alias("name")),
+        F.struct(F.lit("confidence").alias("what"), F.coalesce(F.lower("confidence"), F.lit("unknown")).alias("name")),
+    )
+    # few groups: types, states and words
+    return items.select(F.explode(each).alias("e")).groupBy("e.what", "e.name").agg(F.count("*").alias("n"))
+
+
+def is_stale(taken_at, now, hours: int = 26) -> bool:
+    """Whether a snapshot is older than it may be."""
+    from datetime import timedelta
+
+    return taken_at is None or now - taken_at > timedelta(hours=hours)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
@@ -152,7 +151,4 @@ def overlapping_labels(t: Tables) -> DataFrame:
 def merged_artifacts(t: Tables) -> DataFrame:
     """Files that share a hash as one; the hashes of every second file are given to its neighbour too."""
     shared = t.hashes.where("hash_type = 'sha1' and length(artifact_id) % 2 = 0").withColumn("artifact_id", F.concat("artifact_id", F.lit("x")))
-    folder = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not t.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        t.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tamarack-"))  # local runs only
     return jobs.merged_artifacts(t.hashes.select("artifact_id", "hash_type", "hash_value").union(shared.select("artifact_id", "hash_type", "hash_value")))

@@ -41,7 +41,7 @@ class Compiler:
 
     def __init__(self, t: Tables, now: datetime, zone: str = "UTC"):
         self.t, self.now, self.zone = t, now, zone
-        self.sets: dict[str, DataFrame] = {}
+        self.flags: list[tuple[str, list[str], DataFrame]] = []
         self.seen_columns = False
 
     def rows(self, query: str | Node) -> DataFrame:
@@ -62,8 +62,8 @@ class Compiler:
         wanted = [self.column(p) for p in later]
         if self.seen_columns:
             found = found.join(fusion.membership_times(self.t.memberships), KEY, "left")
-        for name, keys in self.sets.items():
-            found = found.join(keys.select(*KEY).distinct().withColumn(name, F.lit(True)), KEY, "left")
+        for name, on, keys in self.flags:
+            found = found.join(keys.select(*on).distinct().withColumn(name, F.lit(True)), on, "left")
         for w in wanted:
             found = found.where(w)
         return found.select(*self.t.items.columns)
@@ -83,14 +83,47 @@ class Compiler:
             if isinstance(node.child, Condition) and node.child.field == "classification":
                 return self.column(flipped(node.child))
             return ~self.column(node.child)
+        if node.field in ("source", "type", "known_hash_type", *HASH_TYPES) or self._is_hash(node):
+            found = self._source(node) if node.field == "source" else self._known(node) if node.field.endswith("type") else self._hash(node)
+            return ~found if node.operator.startswith("not_") else found
         keys = self.keys(node)
         if keys is not None:
-            name = f"_in{len(self.sets)}"
-            self.sets[name] = keys[0]
-            flag = F.coalesce(F.col(name), F.lit(False))
+            flag = self._member(keys[0])
             return flag if keys[1] else ~flag
         return getattr(self, f"_{node.kind}", self._row)(node)
 
+    def _member(self, keys: DataFrame, on: list[str] = KEY) -> Column:
+        """Whether a row is among these keys, never null."""
+        name = f"_in{len(self.flags)}"
+        self.flags.append((name, on, keys))
+        return F.coalesce(F.col(name), F.lit(False))
+
+    def _is_hash(self, c: Condition) -> bool:
+        return c.field == "ioc" and c.operator in ("contains", "equals") and self._hash_type(c.values[0]) is not None
+
+    def _source(self, c: Condition) -> Column:
+        """The row's own name, its desk's, or that of a feed it is in; the rows are read once."""
+        t = self.t
+        own = F.coalesce(text_match(F.col("source_name"), c), F.lit(False))
+        feeds = self._member(t.memberships.join(t.feeds.where(text_match(F.col("feed_name"), c)), "feed_id"))
+        desks = t.manual_sources.where(text_match(F.col("source_name"), c)).select(F.col("source_id").alias("ioc_source_id"))
+        return own | feeds | self._member(desks, ["ioc_source_id"])
+
+    def _known(self, c: Condition) -> Column:
+        """The type of the file that a row belongs to, or its own where it belongs to none."""
+        t, values = self.t, [v.lower() for v in c.values]
+        linked = t.links.join(identity.resolved(t.artifacts), "artifact_id").select(*KEY, F.col("artifact").alias("artifact_id"))
+        known = t.hashes.where(F.col("is_primary")) if c.field == "type" else t.hashes
+        known = linked.join(known.where(F.col("hash_type").isin(*values)).select("artifact_id").distinct(), "artifact_id")
+        raw = F.coalesce(F.col("observable_type").isin(*values), F.lit(False))
+        return self._member(known) | (raw & ~self._member(t.links))
+
+    def _hash(self, c: Condition) -> Column:
+        """The row itself, or one of the file that has the hash."""
+        kind, value = (self._hash_type(c.values[0]), c.values[0].lower()) if c.field == "ioc" else (c.field, c.values[0])
+        own = F.coalesce((F.col("observable_type") == kind) & (F.lower("observable") == value), F.lit(False))
+        return own | self._member(self._of_artifacts(self.t.hashes.where((F.col("hash_type") == kind) & (F.lower("hash_value") == value)).select("artifact_id")))
+
     def _row(self, c: Condition) -> Column:
         column = F.coalesce("status", F.lit("active")) if c.field == "status" else F.col({"ioc": "observable"}.get(c.field, c.field))
         found = text_match(column, c, canonical_ioc(c.values[0]) if c.field == "ioc" else None)
@@ -110,44 +143,39 @@ class Compiler:
         positive = not c.operator.startswith("not_")
         t = self.t
         match c.field:
-            case "ioc" if c.operator in ("contains", "equals") and (kind := self._hash_type(c.values[0])):
-                return self._file(kind, c.values[0].lower()), True
             case "tag":
                 inherited = t.candidates.join(t.report_tags, "report_id").select(*KEY, "tag")
                 every = t.tags.select(*KEY, "tag").union(inherited)
                 return every.where(like(folded("tag"), c)).select(*KEY), positive
-            case "source":
-                named = t.items.where(text_match(F.col("source_name"), c)).select(*KEY)
-                feeds = t.memberships.join(t.feeds.where(text_match(F.col("feed_name"), c)), "feed_id").select(*KEY)
-                manual = t.items.join(t.manual_sources.where(text_match(F.col("source_name"), c)).select(F.col("source_id").alias("ioc_source_id")), "ioc_source_id").select(*KEY)
-                return named.union(feeds).union(manual), positive
             case "threat_actor" | "malware_family":
                 return t.actors.where((F.col("kind") == c.field) & like(folded("name"), c)).select(*KEY), positive
             case "source_threat_actor" | "source_malware_family":
                 current = t.attributions.where((F.col("kind") == c.field.removeprefix("source_")) & (F.col("assertion") == "current"))
                 return current.where(like(folded("label"), c)).select(*KEY), positive
             case "report_id":
-                return t.candidates.where(F.col("report_id").cast("string").isin(*c.values)).select(*KEY), positive
-            case "related_entity" | "entity_type":
-                wanted = like(folded("entity_name"), c) if c.field == "related_entity" else F.col("entity_type").isin(*(v.lower() for v in c.values))
-                reports = t.relations.join(t.entities.where(wanted), "entity_id").select("report_id").distinct()
+                # a report is named by its number, its uuid or its label
+                names = [F.lower(F.col(n).cast("string")) for n in ("report_id", "report_uuid", "title")]
+                values = [v.strip().lower() for v in c.values]
+                reports = t.report_names.where(names[0].isin(*values) | names[1].isin(*values) | names[2].isin(*values)).select("report_id").distinct()
                 return t.candidates.join(reports, "report_id").select(*KEY), positive
+            case "related_entity" | "entity_type":
+                if c.field == "related_entity":  # by its name or any alias
+                    names = t.entities.select("entity_id", "entity_name").union(t.entity_aliases.select("entity_id", "alias"))
+                    wanted = names.where(like(folded("entity_name"), c)).select("entity_id").distinct()
+                else:
+                    wanted = t.entities.where(F.col("entity_type").isin(*(v.lower() for v in c.values))).select("entity_id")
+                reports = t.relations.join(wanted, "entity_id").select("report_id").distinct()
+                direct = t.direct_relations.join(wanted, "entity_id").select("id").distinct()
+                # a direct endpoint names a row by its number alone, a candidate by type and number
+                ends = t.items.select(*KEY).join(direct, "id", "left_semi").select(*KEY)
+                return t.candidates.join(reports, "report_id").select(*KEY).union(ends), positive
             case "classification":
                 keys = fusion.classification_keys(t, [v.lower() for v in c.values])
                 return (keys, True) if positive else (identity.closure(keys, t.items, t.links), False)
-            case "md5" | "sha1" | "sha256":
-                return self._file(c.field, c.values[0]), True
             case "imphash" | "tlsh" | "ssdeep":
                 value = F.col("attr_value") if c.field == "ssdeep" else F.lower("attr_value")
                 owners = t.file_attributes.where((F.col("attr_type") == c.field) & (value == c.values[0])).select("artifact_id")
                 return self._of_artifacts(owners), True
-            case "type" | "known_hash_type":
-                values = [v.lower() for v in c.values]
-                linked = t.links.join(identity.resolved(t.artifacts), "artifact_id").select(*KEY, F.col("artifact").alias("artifact_id"))
-                known = t.hashes.where(F.col("is_primary")) if c.field == "type" else t.hashes
-                known = linked.join(known.where(F.col("hash_type").isin(*values)).select("artifact_id").distinct(), "artifact_id").select(*KEY)
-                raw = t.items.where(F.col("observable_type").isin(*values)).select(*KEY).join(t.links.select(*KEY), KEY, "left_anti")
-                return known.union(raw), positive
         return None
 
     @staticmethod
@@ -155,11 +183,6 @@ class Compiler:
         low = value.strip().lower()
         return dict(zip((32, 40, 64), HASH_TYPES)).get(len(low)) if low and not set(low) - set("0123456789abcdef") else None
 
-    def _file(self, kind: str, value: str) -> DataFrame:
-        t = self.t
-        direct = t.items.where((F.col("observable_type") == kind) & (F.lower("observable") == value)).select(*KEY)
-        return direct.union(self._of_artifacts(t.hashes.where((F.col("hash_type") == kind) & (F.lower("hash_value") == value)).select("artifact_id")))
-
     def _of_artifacts(self, owners: DataFrame) -> DataFrame:
         """Rows linked to an artifact, or to one that is the same after merges."""
         same = identity.resolved(self.t.artifacts)

@@ -46,13 +46,13 @@ def _md5(text: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tamarack.plans import catalog  # noqa: F401  registers its queries
+    from tamarack.plans import catalog, pages  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tamarack.plans import catalog  # noqa: F401
+    from tamarack.plans import catalog, pages  # noqa: F401
 
     return dict(_SQL)
 
@@ -165,12 +165,43 @@ def search_attribution(t: Tables) -> DataFrame:
     return _search(t, 'actor equals "GROUP 7" OR (source_malware_family contains "label 1" AND malware not_in ("Group 1", "Group 2"))')
 
 
-@query(SEARCH_VIEWS + " candidates relations entities", _searched("""EXISTS (SELECT 1 FROM candidates c JOIN relations r ON r.report_id = c.report_id JOIN entities e ON e.entity_id = r.entity_id
-    WHERE c.id = i.id AND c.observable_type = i.observable_type AND lower(e.entity_name) LIKE '%1') AND NOT EXISTS (SELECT 1 FROM candidates c JOIN relations r ON r.report_id = c.report_id JOIN entities e ON e.entity_id = r.entity_id
-    WHERE c.id = i.id AND c.observable_type = i.observable_type AND e.entity_type IN ('tool', 'malware'))
-  AND NOT EXISTS (SELECT 1 FROM candidates c WHERE c.id = i.id AND c.observable_type = i.observable_type AND CAST(c.report_id AS VARCHAR) IN ('10', '12'))"""))
+ENTITY_VIEWS = " candidates relations entities entity_aliases direct_relations report_names"
+NAMED_ENTITY = """(SELECT entity_id, lower(entity_name) AS name, entity_type FROM entities UNION ALL SELECT a.entity_id, lower(alias), entity_type FROM entity_aliases a JOIN entities e ON e.entity_id = a.entity_id)"""
+
+
+def _related(where: str) -> str:
+    return f"""(EXISTS (SELECT 1 FROM candidates c JOIN relations r ON r.report_id = c.report_id JOIN {NAMED_ENTITY} e ON e.entity_id = r.entity_id WHERE c.id = i.id AND c.observable_type = i.observable_type AND {where})
+      OR EXISTS (SELECT 1 FROM direct_relations d JOIN {NAMED_ENTITY} e ON e.entity_id = d.entity_id WHERE d.id = i.id AND {where}))"""
+
+
+@query(SEARCH_VIEWS + ENTITY_VIEWS, _searched(_related("e.name LIKE '%1'") + " AND NOT " + _related("e.entity_type IN ('malware')") + """
+  AND NOT EXISTS (SELECT 1 FROM candidates c WHERE c.id = i.id AND c.observable_type = i.observable_type AND c.report_id IN (10, 12))"""))
 def search_reports_and_entities(t: Tables) -> DataFrame:
-    return _search(t, 'related_entity ends_with "1" AND entity_type not_in ("tool", "malware") AND report_id not_in ("10", "12")')
+    return _search(t, 'related_entity ends_with "1" AND entity_type not_in ("malware") AND report_id not_in ("10", "12")')
+
+
+@query(SEARCH_VIEWS + ENTITY_VIEWS, _searched(_related("e.name = 'apt 3'") + " OR (" + _related("e.entity_type IN ('tool', 'campaign')") + " AND lower(observable) LIKE '%zone%')"))
+def search_entity_alias(t: Tables) -> DataFrame:
+    return _search(t, 'related_entity equals "apt  3" OR (entity_type in ("tool", "campaign") AND ioc contains "zone")')
+
+
+@query(SEARCH_VIEWS + ENTITY_VIEWS, _searched("""EXISTS (SELECT 1 FROM candidates c JOIN report_names r ON r.report_id = c.report_id WHERE c.id = i.id AND c.observable_type = i.observable_type
+  AND (r.report_id IN (16, 22, 25) OR r.report_uuid = (SELECT report_uuid FROM report_names WHERE report_id = 7) OR r.title = 'Customer#000000043'))"""))
+def search_report(t: Tables) -> DataFrame:
+    """Reports by number, uuid and label."""
+    h = _md5("r7")
+    return _search(t, f'report_id in ("16", "22", "25", "{h[:8]}-{h[8:12]}-4{h[13:16]}-a{h[17:20]}-{h[20:]}", "customer#000000043")')
+
+
+@query(SEARCH_VIEWS, _searched("(i.observable_type, i.id) IN (SELECT observable_type, id FROM of_files) OR (i.observable_type = 'md5' AND lower(i.observable) = md5('m64'))", before=FILE_KEYS.format(source="hashes WHERE hash_type = 'md5' AND hash_value = md5('m64')")))
+def search_ioc_hash(t: Tables) -> DataFrame:
+    """A whole hash as the value that is searched for finds the file."""
+    return _search(t, f'ioc equals "{_md5("m64").upper()}"')
+
+
+@query(SEARCH_VIEWS, _searched("lower(observable) = 'host6.zone6.com'"))
+def search_exact(t: Tables) -> DataFrame:
+    return _search(t, 'ioc equals "HOST6.zone6.com"')
 
 
 # ---- classification in SQL, shared by the checks

@@ -64,6 +64,9 @@ VIEWS = {
     "candidates": f"SELECT o_custkey AS report_id, o_orderkey AS id, {_kind('o_orderkey')} AS observable_type FROM {{orders}} WHERE o_orderkey % 3 <> 0",
     "entities": "SELECT n_nationkey AS entity_id, n_name AS entity_name, CASE n_regionkey WHEN 0 THEN 'campaign' WHEN 1 THEN 'tool' WHEN 2 THEN 'malware' ELSE 'threat_actor' END AS entity_type FROM {nation}",
     "relations": "SELECT c_custkey AS report_id, c_nationkey AS entity_id FROM {customer} WHERE c_custkey % 2 = 0",
+    "report_names": "SELECT c_custkey AS report_id, substr(md5('r' || c_custkey), 1, 8) || '-' || substr(md5('r' || c_custkey), 9, 4) || '-4' || substr(md5('r' || c_custkey), 14, 3) || '-a' || substr(md5('r' || c_custkey), 18, 3) || '-' || substr(md5('r' || c_custkey), 21, 12) AS report_uuid, c_name AS title FROM {customer}",
+    "entity_aliases": "SELECT n_nationkey AS entity_id, 'APT ' || (n_nationkey % 9) AS alias FROM {nation} WHERE n_nationkey % 3 = 0",
+    "direct_relations": "SELECT o_orderkey AS id, o_custkey % 25 AS entity_id FROM {orders} WHERE o_orderkey % 37 = 0",
     "actors": f"SELECT DISTINCT l_orderkey AS id, {_kind('l_orderkey')} AS observable_type, CASE WHEN l_linenumber % 2 = 0 THEN 'threat_actor' ELSE 'malware_family' END AS kind, 'Group ' || (l_partkey % 40) AS name FROM {{lineitem}} WHERE l_quantity < 10",
     "attributions": f"""
         SELECT DISTINCT l_orderkey AS id, {_kind("l_orderkey")} AS observable_type, l_suppkey AS feed_id,
