@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.operators import fusion, jobs, paging, publish, reports
@@ -11,7 +11,8 @@ from tamarack.plans.language import utc
 from tamarack.plans.registry import ANNOTATED, LINED, NOW, PROJECTED, SEARCH_VIEWS, WIDE, WIDE_ROWS, query
 from tamarack.sources.tables import Tables
 
-DESC = [F.col("created_at").desc(), F.col("id").desc()]
+def newest() -> list[Column]:
+    return [F.col("created_at").desc(), F.col("id").desc()]
 
 
 # ---- pages ---------------------------------------------------------------------------------------------------------
@@ -19,7 +20,7 @@ DESC = [F.col("created_at").desc(), F.col("id").desc()]
   SELECT id, observable, created_at, total FROM f ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 25""")
 def page_with_total(t: Tables) -> DataFrame:
     rows = t.items.where("observable_type = 'url'").select("id", "observable", "created_at")
-    return paging.with_total(rows, DESC, paging.page_size(25), 25)
+    return paging.with_total(rows, newest(), paging.page_size(25), 25)
 
 
 @query("items", """WITH f AS (SELECT id, epoch_us(created_at) AS cursor_micros FROM items WHERE observable_type IN ('ip', 'md5')),
@@ -46,7 +47,7 @@ def probed_counts(t: Tables) -> DataFrame:
   ORDER BY created_at DESC, id DESC LIMIT 100""")
 def active_preview(t: Tables) -> DataFrame:
     rows = t.items.join(t.memberships.where("status = 'active'").select(*KEY), KEY, "left_semi")
-    return paging.preview(rows.select("id", "observable_type", "created_at", "status"), F.coalesce("status", F.lit("active")) == "active", DESC, 100).drop("status")
+    return paging.preview(rows.select("id", "observable_type", "created_at", "status"), F.coalesce("status", F.lit("active")) == "active", newest(), 100).drop("status")
 
 
 # ---- published files -----------------------------------------------------------------------------------------------

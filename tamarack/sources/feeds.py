@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,25 +52,68 @@ def typed(rows: DataFrame, value: str = "raw") -> DataFrame:
     return rows.withColumn("observable", F.when(shape, normal)).withColumn("error", F.when(v == "", "empty").when(~shape, "invalid_value")).drop("_v", "_n")
 
 
-def text_feed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One row for each line that is no comment, typed."""
-    return typed(lines.select(F.col(column).alias("raw")).where(~F.col("raw").rlike(COMMENT)))
+#: Rejected lines that a report shows, and how much of each.
+REJECTED, REJECTED_CHARS = 20, 500
 
 
-def csv_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV files with or without a header, typed; a type or confidence column is taken over."""
-    first = [c.strip().lower() for c in (spark.read.text(path).where(~F.col("value").rlike(COMMENT)).first() or [""])[0].split(",")]
-    header = any(c in VALUE_HEADERS for c in first)
-    names = first if header else ["value", *(f"_c{i}" for i in range(1, len(first)))]
-    rows = spark.read.schema(", ".join(f"`{c}` string" for c in names)).option("header", header).option("comment", "#").option("escape", '"').csv(path)
+def text_feed(lines: DataFrame, column: str = "value", kind: str | None = None) -> DataFrame:
+    """One row for each line that is no comment, typed; a feed of one fixed kind rejects other values."""
+    rows = typed(lines.select(F.col(column).alias("raw")).where(~F.col("raw").rlike(COMMENT)))
+    if kind is None:
+        return rows
+    other = F.col("error").isNull() & (F.col("observable_type") != kind)
+    return rows.withColumn("error", F.when(other, "type_mismatch").otherwise(F.col("error"))).withColumn("observable", F.when(F.col("error").isNull(), F.col("observable")))
+
+
+def rejected(rows: DataFrame, most: int = REJECTED) -> DataFrame:
+    """The first rejected lines by their text, cut short, with the reason."""
+    return rows.where("error is not null").select(F.substring("raw", 1, REJECTED_CHARS).alias("raw"), "error").orderBy("raw", "error").limit(most)
+
+
+def split_header(line: str) -> list[str]:
+    """The cells of a header line, quoted or not, in lower case."""
+    return [c.strip().lower() for c in next(csv.reader([line]), [])]
+
+
+def csv_lines(lines: DataFrame, header: str | None, column: str = "value") -> DataFrame:
+    """Rows of CSV lines, typed; ``header`` is the first line that is no comment. Without a known name in it the first
+    cell is the value. A type or confidence column is taken over."""
+    first = split_header(header or "")
+    named = any(c in VALUE_HEADERS for c in first)
+    names = first if named else ["value", *(f"_c{i}" for i in range(1, max(1, len(first))))]
+    body = lines.where(~F.col(column).rlike(COMMENT))
+    if named:
+        body = body.where(F.col(column) != header)
+    cells = body.select(F.from_csv(column, F.lit(", ".join(f"`{c}` string" for c in names)), {"escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r")).select("r.*")
     value = next((c for c in names if c in VALUE_HEADERS), names[0])
     word = F.lower(F.trim("confidence")) if "confidence" in names else F.lit(None).cast("string")
-    return typed(rows.select(F.col(value).alias("raw"), word.alias("confidence")))
+    rows = typed(cells.select(F.coalesce(F.col(value), F.lit("")).alias("raw"), word.alias("confidence"), *([F.lower(F.trim("type")).alias("_said")] if "type" in names else [])))
+    if "type" in names:
+        rows = rows.withColumn("observable_type", F.coalesce(F.nullif("_said", F.lit("")), "observable_type")).drop("_said")
+    return rows
+
+
+def csv_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files with or without a header, typed."""
+    lines = spark.read.text(path)
+    first = lines.where(~F.col("value").rlike(COMMENT)).first()
+    return csv_lines(lines, first[0] if first else None)
+
+
+def _cells(lines: DataFrame, names: tuple[str, ...], column: str = "value") -> DataFrame:
+    """Named cells of the lines of a provider's CSV; comments are left out."""
+    schema = ", ".join(f"{c} string" for c in names)
+    body = lines.where(~F.col(column).rlike(r"^\s*(#|$)"))
+    return body.select(F.from_csv(column, F.lit(schema), {"escape": '"', "ignoreLeadingWhiteSpace": "true"}).alias("r")).select("r.*")
 
 
 def urlhaus(spark: SparkSession, path: str) -> DataFrame:
+    return urlhaus_lines(spark.read.text(path))
+
+
+def urlhaus_lines(lines: DataFrame) -> DataFrame:
     """URLs with threat and tags; the fingerprint leaves out what changes by itself."""
-    rows = spark.read.schema(", ".join(f"{c} string" for c in URLHAUS)).option("comment", "#").option("escape", '"').csv(path).where("id is not null and url is not null and id <> 'id'")
+    rows = _cells(lines, URLHAUS).where("id is not null and url is not null and reporter is not null and id <> 'id'")
     threat = F.coalesce(F.nullif(F.trim("threat"), F.lit("")), F.lit("malware-url"))
     tags = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.concat_ws(",", "tags", threat), ","), F.trim), lambda x: x != "")))
     rows = rows.select("id", F.lit("url").alias("observable_type"), normal_url("url").alias("observable"), F.lower("url_status").alias("state"), threat.alias("threat"), tags.alias("tags"), "reporter")
@@ -80,12 +125,19 @@ def threatfox(records: DataFrame) -> DataFrame:
     host = F.when(F.col("ioc_type") == "ip:port", F.regexp_replace(F.regexp_replace("ioc", r":\d+$", ""), r"[\[\]]", "")).otherwise(F.col("ioc"))
     level = F.col("confidence_level").try_cast("double")
     word = F.when(level.isNull(), "medium").when(level >= 80, "high").when(level >= 50, "medium").otherwise("low")
-    return typed(records.withColumn("raw", host)).withColumn("confidence", word)
+    out = typed(records.withColumn("raw", host)).withColumn("confidence", word)
+    # the day it was last seen changes by itself
+    said = [c for c in ("observable_type", "observable", "confidence", "malware", "threat_type", "reporter", "tags") if c in out.columns]
+    return out.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*said)), 256))
 
 
 def malwarebazaar(spark: SparkSession, path: str) -> DataFrame:
-    """Samples with their hashes; a sample without a SHA-256 is left out."""
-    rows = spark.read.schema(", ".join(f"{c} string" for c in MALWAREBAZAAR)).option("comment", "#").option("escape", '"').option("ignoreLeadingWhiteSpace", True).csv(path)
+    return malwarebazaar_lines(spark.read.text(path))
+
+
+def malwarebazaar_lines(lines: DataFrame) -> DataFrame:
+    """Samples with their hashes; a sample without a SHA-256 is left out. The fingerprint leaves out detection rates."""
+    rows = _cells(lines, MALWAREBAZAAR)
     hexed = lambda c, n: F.when(F.lower(F.trim(c)).rlike(f"^[0-9a-f]{{{n}}}$"), F.lower(F.trim(c)))
     tags = F.array_distinct(F.filter(F.array(F.lower("signature"), F.lower("file_type_guess")), lambda x: x.isNotNull() & ~x.isin("", "n/a")))
     out = rows.select(hexed("sha256_hash", 64).alias("sha256"), hexed("md5_hash", 32).alias("md5"), hexed("sha1_hash", 40).alias("sha1"), hexed("imphash", 32).alias("imphash"), F.lower("ssdeep").alias("ssdeep"), F.lower("tlsh").alias("tlsh"), tags.alias("tags"), "reporter", "file_name")
@@ -108,6 +160,16 @@ def certpl(records: DataFrame) -> DataFrame:
     return live.groupBy("observable").agg(F.min(order).alias("first")).select("observable", F.lit("domain").alias("observable_type"), F.col("first.InsertDate").alias("first_seen"), F.col("first.RegisterPositionId").alias("position"))
 
 
+def certpl_skipped(records: DataFrame) -> DataFrame:
+    """Why records give no row: reason and how many."""
+    value = F.lower(F.regexp_replace(F.trim(F.coalesce("DomainAddress", F.lit(""))), r"\.$", ""))
+    good = value.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$")
+    reason = F.when(F.coalesce("DeleteDate", F.lit("")) != "", "withdrawn").when(value == "", "empty").when(~good, "invalid_domain")
+    first = records.select(reason.alias("reason"), value.alias("value"))
+    kept = first.where("reason is null").agg((F.count("*") - F.count_distinct("value")).alias("n")).select(F.lit("duplicate").alias("reason"), "n")
+    return first.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).union(kept).where("n > 0")
+
+
 def network_list(records: DataFrame, column: str = "cidr") -> DataFrame:
     """lo, hi and bits of the IPv4 networks of a list."""
     n, bits = ipv4_number(F.substring_index(column, "/", 1)), F.substring_index(column, "/", -1).try_cast("int")
