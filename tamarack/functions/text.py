@@ -76,10 +76,22 @@ def normal_url(column: str | Column) -> Column:
     scheme, user, host, port, rest = (F.regexp_extract(column, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#@]*@)?([^/?#:@]+)(?::(\d+))?([^#]*)", i) for i in range(1, 6))
     scheme = F.lower(scheme)
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    path = F.when((rest == "") | rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
+    tail = F.regexp_extract(rest, r"^[^?]*(.*)$", 1)
+    path = F.concat(_without_dots(F.regexp_extract(rest, r"^([^?]*)", 1)), tail)
+    path = F.when((rest == "") | rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(path)
     return F.when(scheme == "", column).otherwise(F.concat(scheme, F.lit("://"), user, F.lower(host), F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its dot segments: "." goes, ".." goes with the segment before it."""
+    parts = F.split(path, "/", -1)
+    up = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), up)
+    # a dot segment at the end leaves its slash
+    ended = F.when(path.rlike(r"/\.{1,2}$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.array_join(ended, "/")).otherwise(path)
+
+
 def normal_email(column: str | Column) -> Column:
     """The address in lower case, or null if it is none, too long, redacted or in a reserved domain.
 
@@ -137,3 +149,16 @@ def note_value(column: str | Column, key: str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     parts = F.filter(F.split(column, r" \| "), lambda x: F.lower(F.trim(x)).startswith(f"{key}="))
     return F.trim(F.substring(F.trim(F.try_element_at(parts, F.lit(-1))), len(key) + 2, 1 << 20))
+
+
+def csv_time(column: str | Column, zone: str = "UTC") -> Column:
+    """A UTC time for a CSV cell: with a Z, or as the wall clock of a zone with its offset."""
+    column = F.col(column) if isinstance(column, str) else column
+    if zone == "UTC":
+        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    utc = column.cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    minutes = F.timestamp_diff("MINUTE", utc, local)
+    size = F.abs(minutes)
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), F.lpad(F.floor(size / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((size % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)

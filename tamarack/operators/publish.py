@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.network import is_private
-from tamarack.functions.text import bucket, uuid5
-from tamarack.operators.fusion import confidence_score
+from tamarack.functions.text import bucket, csv_cell, csv_time, uuid5
+from tamarack.operators.fusion import confidence_score, membership_times
 from tamarack.operators.identity import KEY, annotated, representative_order
 from tamarack.sources.tables import Tables
 
@@ -294,3 +294,64 @@ def changes(old: DataFrame, new: DataFrame, most: int, key: str = "line") -> Dat
 def active_source_keys(t: Tables) -> DataFrame:
     """The keys of the feeds that a row is in now, sorted."""
     return t.memberships.where("status = 'active'").join(t.feeds, "feed_id").groupBy(*KEY).agg(F.array_sort(F.collect_set("feed_key")).alias("sources"))
+
+
+# fixed values: keys and headers of the columns that an export may have
+EXPORT_HEADERS = {
+    "ioc": "IOC",
+    "ioc_type": "IOC Type",
+    "status": "Status",
+    "source": "Source",
+    "confidence": "Confidence",
+    "tags": "Tags",
+    "classifications": "Classifications",
+    "threat_actor": "Threat actor",
+    "first_seen_in_source": "First seen in source",
+    "last_seen_in_source": "Last seen in source",
+    "last_changed_in_source": "Last changed in source",
+    "created_at": "Created at",
+    "imported_at": "Imported at",
+    "artifact_id": "Artifact ID",
+    "primary_hash_type": "Primary hash type",
+    "primary_hash_value": "Primary hash value",
+    "linked_ioc_public_ids": "Linked IOC public IDs",
+    "known_hashes": "Known hashes",
+}
+
+
+def export_columns(asked: tuple[str, ...]) -> list[str]:
+    """The asked columns that there are, each once, in the order asked."""
+    return [k for k in dict.fromkeys(asked) if k in EXPORT_HEADERS]
+
+
+def export_header(asked: tuple[str, ...]) -> str:
+    return ",".join(EXPORT_HEADERS[k] for k in export_columns(asked))
+
+
+def export_lines(rows: DataFrame, t: Tables, asked: tuple[str, ...], zone: str = "UTC") -> DataFrame:
+    """id and the CSV line of each row; only tables that an asked column needs are joined."""
+    keys = export_columns(asked)
+    out = annotated(rows, t)
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
+    if "tags" in keys:
+        out = out.join(t.tags.where("enabled").groupBy(*KEY).agg(listed("tag").alias("_tags")), KEY, "left")
+    if "classifications" in keys:
+        marks = t.classified.groupBy(*KEY).agg(listed("slug").alias("_slugs"))
+        out = out.join(marks, KEY, "left")
+    if "threat_actor" in keys:
+        out = out.join(t.actors.where("kind = 'threat_actor'").groupBy(*KEY).agg(F.min("name").alias("_actor")), KEY, "left")
+    if any(k.endswith("_in_source") for k in keys):
+        out = out.join(membership_times(t.memberships), KEY, "left")
+    if "known_hashes" in keys:
+        known = t.hashes.groupBy(F.col("artifact_id").alias("artifact")).agg(listed(F.concat("hash_type", F.lit(":"), "hash_value")).alias("_hashes"))
+        out = out.join(known, "artifact", "left")
+    if "linked_ioc_public_ids" in keys:
+        linked = out.where("artifact is not null").groupBy("artifact").agg(listed("public_id").alias("_linked"))
+        out = out.join(linked, "artifact", "left")
+    cells = {
+        "ioc": lambda: F.col("observable"), "ioc_type": lambda: F.col("observable_type"), "status": lambda: F.coalesce("status", F.lit("active")), "source": lambda: F.col("source_name"), "confidence": lambda: F.col("confidence"),
+        "tags": lambda: F.col("_tags"), "classifications": lambda: F.col("_slugs"), "threat_actor": lambda: F.col("_actor"), "first_seen_in_source": lambda: csv_time("m_first", zone), "last_seen_in_source": lambda: csv_time("m_last", zone),
+        "last_changed_in_source": lambda: csv_time("m_changed", zone), "created_at": lambda: csv_time("created_at", zone), "imported_at": lambda: csv_time("created_at", zone), "artifact_id": lambda: F.col("artifact"),
+        "primary_hash_type": lambda: F.coalesce("primary_type", "observable_type"), "primary_hash_value": lambda: F.coalesce("primary_value", "observable"), "linked_ioc_public_ids": lambda: F.col("_linked"), "known_hashes": lambda: F.col("_hashes"),
+    }
+    return out.select("id", F.concat_ws(",", *(csv_cell(cells[k]()) for k in keys)).alias("line"))

@@ -46,13 +46,13 @@ def _md5(text: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tamarack.plans import catalog, pages  # noqa: F401  register their queries
+    from tamarack.plans import catalog, intake, pages, texts  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tamarack.plans import catalog, pages  # noqa: F401
+    from tamarack.plans import catalog, intake, pages, texts  # noqa: F401
 
     return dict(_SQL)
 

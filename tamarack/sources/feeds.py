@@ -115,7 +115,7 @@ def urlhaus_lines(lines: DataFrame) -> DataFrame:
     """URLs with threat and tags; the fingerprint leaves out what changes by itself."""
     rows = _cells(lines, URLHAUS).where("id is not null and url is not null and reporter is not null and id <> 'id'")
     threat = F.coalesce(F.nullif(F.trim("threat"), F.lit("")), F.lit("malware-url"))
-    tags = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.concat_ws(",", "tags", threat), ","), F.trim), lambda x: x != "")))
+    tags = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.concat_ws(",", "tags", threat), ","), lambda x: F.trim(x)), lambda x: x != "")))
     rows = rows.select("id", F.lit("url").alias("observable_type"), normal_url("url").alias("observable"), F.lower("url_status").alias("state"), threat.alias("threat"), tags.alias("tags"), "reporter")
     return rows.withColumn("fingerprint", F.sha2(F.to_json(F.struct("id", "observable", "state", "threat", "tags", "reporter")), 256))
 
