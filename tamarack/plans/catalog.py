@@ -147,7 +147,9 @@ def overlapping_labels(t: Tables) -> DataFrame:
     return t.evidence.where(F.arrays_overlap(labels, F.array(F.lit("botnet"), F.lit("c2")))).select("id", "feed_id")
 
 
-@query()
+@query("hashes", """WITH h AS (SELECT artifact_id, hash_type, lower(hash_value) AS v FROM hashes UNION ALL SELECT artifact_id || 'x', hash_type, lower(hash_value) FROM hashes WHERE hash_type = 'sha1' AND length(artifact_id) % 2 = 0),
+  e AS (SELECT DISTINCT a.artifact_id AS u, b.artifact_id AS v FROM h a JOIN h b ON b.hash_type = a.hash_type AND b.v = a.v AND b.artifact_id <> a.artifact_id), r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+  SELECT k.artifact_id, CASE WHEN m.low < k.artifact_id THEN m.low END AS merged_into FROM (SELECT DISTINCT artifact_id FROM h) k LEFT JOIN (SELECT u, min(v) AS low FROM r GROUP BY u) m ON m.u = k.artifact_id""")
 def merged_artifacts(t: Tables) -> DataFrame:
     """Files that share a hash as one; the hashes of every second file are given to its neighbour too."""
     shared = t.hashes.where("hash_type = 'sha1' and length(artifact_id) % 2 = 0").withColumn("artifact_id", F.concat("artifact_id", F.lit("x")))

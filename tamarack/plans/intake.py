@@ -151,11 +151,11 @@ def canonical_networks(t: Tables) -> DataFrame:
     return with_network(raw, "raw", "n").where("n is not null").select("k", "n.kind", "n.value", "n.prefix")
 
 
-@query("", """WITH r AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'url' WHEN 2 THEN 'ip' END AS kind, CASE event_id % 4 WHEN 0 THEN 'u' || (event_id % 50) || '.tr' WHEN 1 THEN 'http://v' || (event_id % 60) || '.tr/a' ELSE '8.8.' || (event_id % 200) || '.8' END AS v FROM events WHERE event_id % 4 <> 3),
+@query("", """WITH r AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'url' WHEN 2 THEN 'ip' END AS kind, CASE event_id % 4 WHEN 0 THEN 'u' || (event_id % 5000) || '.tr' WHEN 1 THEN 'http://v' || (event_id % 6000) || '.tr/a' ELSE '8.8.' || (event_id % 200) || '.8' END AS v FROM events WHERE event_id % 4 <> 3),
   n AS (SELECT * FROM r WHERE (kind = 'ip' OR id > CASE kind WHEN 'domain' THEN 300 ELSE 500 END) AND v NOT IN (SELECT v FROM r WHERE id <= 100)) SELECT kind AS observable_type, count(*) AS new_rows, max(id) AS new_cursor FROM n GROUP BY kind""")
 def paged_service_run(t: Tables) -> DataFrame:
     """What a run takes in after the cursors of each type, without contents that are stored."""
-    raw = t.events.select(F.col("event_id").alias("id"), F.expr("CASE event_id % 4 WHEN 0 THEN 'Domain' WHEN 1 THEN 'url' WHEN 2 THEN 'ip' ELSE 'other' END").alias("type"), F.expr("CASE event_id % 4 WHEN 0 THEN 'U' || (event_id % 50) || '.tr' WHEN 1 THEN 'v' || (event_id % 60) || '.tr/a' ELSE '8.8.' || (event_id % 200) || '.8' END").alias("url"), F.col("ts").alias("date"))
+    raw = t.events.select(F.col("event_id").alias("id"), F.expr("CASE event_id % 4 WHEN 0 THEN 'Domain' WHEN 1 THEN 'url' WHEN 2 THEN 'ip' ELSE 'other' END").alias("type"), F.expr("CASE event_id % 4 WHEN 0 THEN 'U' || (event_id % 5000) || '.tr' WHEN 1 THEN 'v' || (event_id % 6000) || '.tr/a' ELSE '8.8.' || (event_id % 200) || '.8' END").alias("url"), F.col("ts").alias("date"))
     rows = records.usom(raw)
     state = _cases(t, [("domain", 300), ("url", 500)], "observable_type string, cursor long")
     new, _ = records.advanced(rows, state, rows.where("id <= 100"))
