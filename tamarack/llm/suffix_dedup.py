@@ -37,10 +37,8 @@ STEP = 1 << 19
 #: sample's runs, in different contexts, so there are at most that many.
 SAMPLE, PART, LEAST = 64, 5000, 16
 
-#: Suffixes are ordered by so many bytes; bytes of text for each bucket of runs, and of contexts for each suffix array.
-DEPTH, BUCKET_TEXT, BUCKET_CONTEXTS = 128, 1 << 21, 1 << 20
-#: Rounds in which smaller neighbours are looked for side by side.
-ROUNDS = 64
+#: Bytes of text for each bucket of runs, and of contexts for each suffix array.
+BUCKET_TEXT, BUCKET_CONTEXTS = 1 << 21, 1 << 20
 
 RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<u8"), ("id", "<i8"), ("ord", "<i4"), ("s", "<i8"), ("n", "<i4"), ("gone", "u1")])
 
@@ -208,43 +206,62 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(k, batch.column("id")[i].as_py())), pa.array(np.full(k, batch.column("ord")[i].as_py(), np.int32)), pa.array(s), pa.array(n), pa.array(texts, pa.binary())], ["key", "id", "ord", "s", "n", "context"])
 
 
-def _rank_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(a * np.int64(max(1, b.max() + 1)) + b, return_inverse=True)[1].astype(np.int64)
+def suffix_order(text: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the starts in the order of their suffixes, compared by ``most`` bytes at least; equals by place.
 
-
-def prefix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """The rank of the suffix at each place among all suffixes compared by their first ``length`` bytes (>= 8)."""
-    pad = np.concatenate([text, np.zeros(length, np.uint8)])
-    rank = np.unique(_words(pad)[: len(pad)].byteswap(), return_inverse=True)[1].astype(np.int64)
-    have = 8
-    while have < length:
-        step = min(have, length - have)
-        shifted = np.zeros_like(rank)
-        shifted[:-step] = rank[step:]
-        rank = _rank_pairs(rank, shifted)
-        have += step
-    return rank[: len(text)]
+    Sorted by five bytes at a time, and after the first only what has an equal so far.
+    """
+    view = eights(text)
+    five = lambda at, k: (view[np.minimum(starts[at] + k, len(text))].byteswap() >> np.uint64(24)).astype(np.int64)
+    word = five(np.arange(len(starts)), 0)
+    order = np.argsort(word, kind="stable")
+    word, group, there = word[order], np.zeros(len(order), np.int64), np.arange(len(order))  # there: places that are not settled
+    for k in range(5, most + 5, 5):
+        same = (word[1:] == word[:-1]) & (group[1:] == group[:-1])
+        alike = np.zeros(len(word), bool)
+        alike[1:] |= same
+        alike[:-1] |= same
+        if k >= most or not alike.any():
+            break
+        group = np.cumsum(np.concatenate([[True], ~same]) & alike)[alike]
+        there = there[alike]
+        word = five(order[there], k)
+        # one number for both while it has room
+        by = np.argsort(group << 40 | word, kind="stable") if group[-1] < 1 << 23 else np.lexsort((word, group))
+        word, order[there] = word[by], order[there][by]
+    return order
 
 
 def smaller_before(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest place before it with a smaller value (-1: none). Values differ."""
-    near = np.arange(len(values)) - 1
-    live = np.flatnonzero(near >= 0)
-    for _ in range(ROUNDS):
-        # all between a place and the one it points at are larger than its value, so pointers can be followed at once
-        live = live[values[near[live]] > values[live]]
-        near[live] = near[near[live]]
-        live = live[near[live] >= 0]
-        if not len(live):
-            return near
-    out, stack = [], [-1]
-    below = [*values.tolist(), -1]
-    for i, v in enumerate(values.tolist()):
-        while below[stack[-1]] > v:
-            stack.pop()
-        out.append(stack[-1])
-        stack.append(i)
-    return np.array(out, np.int64)
+    """For each place the nearest place before it with a smaller value (-1: none).
+
+    A tree of minima: up from a place until the part left of it holds a smaller value, then down to the last such.
+    """
+    n = len(values)
+    levels = [values]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        if len(x) % 2:
+            x = np.append(x, np.iinfo(x.dtype).max)
+        levels.append(np.minimum(x[::2], x[1::2]))
+    near, level = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    live = np.arange(n)
+    for k, least in enumerate(levels):
+        at = live >> k
+        left = np.flatnonzero(at & 1)
+        hit = left[least[at[left] - 1] < values[live[left]]]
+        near[live[hit]], level[live[hit]] = at[hit] - 1, k
+        keep = at > 1
+        keep[hit] = False
+        live = live[keep]
+    for k in range(len(levels) - 1, 0, -1):
+        down = np.flatnonzero(level == k)
+        child = 2 * near[down] + 1
+        below = levels[k - 1]
+        right = child < len(below)
+        right[right] = below[child[right]] < values[down[right]]
+        near[down], level[down] = np.where(right, child, child - 1), k - 1
+    return near
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -262,24 +279,23 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -
     return np.minimum(out, end)
 
 
-def longest_previous_factors(text: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+def longest_previous_factors(text: np.ndarray, starts: np.ndarray, most: int, least: int = 0) -> np.ndarray:
     """For each of the sorted starts the longest string there that also begins at an earlier of them (which it may
-    overlap), up to ``most`` bytes.
+    overlap), up to ``most`` bytes. Where that is less than ``least``, some smaller number may stand for it.
 
     In the order of their suffixes the earlier start with the longest common prefix is the previous or the next smaller
     position.
     """
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    rank = prefix_ranks(text, max(most, 8))[starts]
-    order = np.lexsort((starts, rank))
+    out = np.zeros(len(starts), np.int64)
+    order = suffix_order(text, starts, most)
+    if least and len(order):
+        # who shares less than this with both neighbours shares less with all
+        near = common_prefixes(text, starts[order[1:]], starts[order[:-1]], least) >= least
+        order = order[np.concatenate([[False], near]) | np.concatenate([near, [False]])]
     place = starts[order]
-    found = np.zeros(len(order), np.int64)
-    for near in (smaller_before(place), len(place) - 1 - smaller_before(place[::-1])[::-1]):
-        there = np.flatnonzero((near >= 0) & (near < len(place)))
-        found[there] = np.maximum(found[there], common_prefixes(text, place[there], place[near[there]], most))
-    out = np.empty(len(order), np.int64)
-    out[order] = found
+    for smaller in (smaller_before(place), len(place) - 1 - smaller_before(place[::-1])[::-1]):
+        there = np.flatnonzero((smaller >= 0) & (smaller < len(place)))
+        out[order[there]] = np.maximum(out[order[there]], common_prefixes(text, place[there], place[smaller[there]], most))
     return out
 
 
@@ -294,7 +310,7 @@ def _factors(table: pa.Table) -> pa.Table:
     begin = np.cumsum(sizes) - sizes
     which = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    hit = longest_previous_factors(raw, begin[which] + inside, DEPTH) >= LENGTH
+    hit = longest_previous_factors(raw, begin[which] + inside, LENGTH, LENGTH) >= LENGTH
     t = np.zeros(int(hit.sum()), RUN)
     t["id"], t["ord"], t["s"], t["n"] = ids[which[hit]], ords[which[hit]], s[which[hit]] + inside[hit], 1
     t = _joined(t)

@@ -157,17 +157,17 @@ def test_repeats_of_one_id_and_long_texts(spark, monkeypatch):
     assert np.array_equal(np.sort(np.concatenate([np.arange(s, s + n) for s, n in zip(t["s"], t["n"])])), np.arange(len(raw) - 99))
 
 
-def test_longest_previous_factors(monkeypatch):
+def test_longest_previous_factors():
     import numpy as np
 
     texts = (b"", b"a", b"abababab", b"mississippi", b"a" * 300, bytes(random.Random(3).choices(b"ab", k=160)), b"xyz" * 40 + b"zyx" * 40)
-    for rounds in (64, 1):
-        monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
-        for text in texts:
-            want = [max([0, *(next((k for k in range(len(text) - i) if text[j + k] != text[i + k]), len(text) - i) for j in range(i))]) for i in range(len(text))]
-            raw = np.frombuffer(text, np.uint8)
-            for most in (8, 100, 400):
-                assert suffix_dedup.longest_previous_factors(raw, np.arange(len(text)), most).tolist() == [min(most, w) for w in want]
+    for text in texts:
+        want = [max([0, *(next((k for k in range(len(text) - i) if text[j + k] != text[i + k]), len(text) - i) for j in range(i))]) for i in range(len(text))]
+        raw = np.frombuffer(text, np.uint8)
+        for most in (8, 100, 400):
+            assert suffix_dedup.longest_previous_factors(raw, np.arange(len(text)), most).tolist() == [min(most, w) for w in want]
+        pruned = suffix_dedup.longest_previous_factors(raw, np.arange(len(text)), 20, 20)
+        assert ((pruned >= 20) == (np.array(want, int) >= 20)).all()
     values = np.random.default_rng(5).permutation(500)
     want = [max([j for j in range(i) if values[j] < values[i]], default=-1) for i in range(500)]
     assert suffix_dedup.smaller_before(values).tolist() == want
