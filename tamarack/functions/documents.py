@@ -58,7 +58,7 @@ def document_tlp(blocks: DataFrame) -> DataFrame:
 def published_dates(column: str | Column) -> Column:
     """All dates of a text in order: 2024-01-31, January 31, 2024 and 31 January 2024; impossible ones are left out."""
     text = F.col(column) if isinstance(column, str) else column
-    word = "(?:" + "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTHS) + r")\.?"
+    word = "(?:sept|" + "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTHS) + r")\.?"
     shape = rf"(?i)\b((?:19|20)\d\d-\d\d-\d\d|{word}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+(?:19|20)\d\d|\d{{1,2}}(?:st|nd|rd|th)?\s+{word},?\s+(?:19|20)\d\d)\b"
 
     def read(found: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tamarack.operators.joins import membership_outcomes
 from tamarack.sources.feeds import text_feed
+from tamarack.sources.shared import remove
 
 MEMBERSHIP = "observable string, observable_type string, feed_id string, first_seen timestamp, last_seen timestamp, status string, fingerprint string, missing_since timestamp, override_enabled boolean"
 KEY = ["observable", "observable_type", "feed_id"]
@@ -49,6 +50,13 @@ class MembershipTable:
     def write(self, rows: DataFrame, generation: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/g={generation}")
 
+    def collect(self, keep: int = 2, pinned: tuple[int, ...] = ()) -> list[int]:
+        """Deletes complete generations but the last ``keep`` and those that readers have pinned; gives what went."""
+        gone = [g for g in self._generations()[: -max(1, keep)] if g not in pinned]
+        for g in gone:
+            remove(self.spark, f"{self.path}/g={g}")
+        return gone
+
 
 def merged(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The table after a batch of incoming memberships: theirs as the merge gives them, the others as they were."""
@@ -65,11 +73,16 @@ def expired(rows: DataFrame, now: datetime, ttl_days: int) -> DataFrame:
     return rows.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
 
 
-def follow(spark: SparkSession, folder: str, feed_id: str, table: MembershipTable, checkpoint: str, clock: Callable[[], datetime]) -> StreamingQuery:
-    """Reads text files that arrive in a folder and merges each micro-batch into the table."""
+def follow(spark: SparkSession, folder: str, feed_id: str, table: MembershipTable, checkpoint: str, clock: Callable[[], datetime], ttl_days: int | None = None) -> StreamingQuery:
+    """Reads text files that arrive in a folder and merges each micro-batch into the table.
+
+    With ``ttl_days``, memberships that no batch has seen for so long expire with the batch.
+    """
 
     def batch(lines: DataFrame, number: int) -> None:
-        table.write(merged(table.read(before=number), memberships(lines, feed_id, clock())), number)
+        now = clock()
+        rows = merged(table.read(before=number), memberships(lines, feed_id, now))
+        table.write(rows if ttl_days is None else expired(rows, now, ttl_days), number)
 
     return spark.readStream.format("text").load(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
