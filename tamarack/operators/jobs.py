@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamarack.functions.text import folded
+from tamarack.functions.text import bucket, folded
 from tamarack.operators.identity import KEY
 from tamarack.operators.joins import graph_components
 from tamarack.sources.shared import durable
@@ -187,3 +187,62 @@ def catalog_conflicts(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     )
     conflict = F.when(F.col("names") > 1, "name_collision").when(F.col("kinds") > 1, "alias_is_name").otherwise("alias_conflict")
     return per.where(F.size("entities") > 1).select("name", "entities", conflict.alias("conflict"))
+
+
+# fixed values: states of assessment, match and review that keep a candidate from being an indicator
+BARRED_STATES = {"assessment": ("context", "invalid"), "match_state": ("invalid",), "review": ("rejected", "context")}
+# fixed values: flags of a candidate that keep it from being an indicator
+BARRED_FLAGS = ("parser_metadata", "direct_source", "reserved", "non_actionable_local")
+
+
+def indicator_gates(candidates: DataFrame, types: tuple[str, ...], flags_col: str = "flags") -> DataFrame:
+    """Candidates (type, assessment, match_state, review, a JSON text of flags) that count as indicators of a report."""
+    allowed = F.col("type").isin(*types)
+    for column, states in BARRED_STATES.items():
+        allowed = allowed & ~F.coalesce(F.col(column), F.lit("")).isin(*states)
+    for flag in BARRED_FLAGS:
+        allowed = allowed & (F.coalesce(F.get_json_object(flags_col, f"$.{flag}"), F.lit("false")) != "true")
+    return candidates.where(F.coalesce(allowed, F.lit(False)))
+
+
+def candidate_list(candidates: DataFrame, text: str | None = None, types: tuple[str, ...] = (), results: tuple[str, ...] = (), matched: bool | None = None) -> DataFrame:
+    """Candidates of a tab: by a part of their value, their types, what came of them, and whether a row matches."""
+    rows = candidates
+    if text:
+        rows = rows.where(F.lower("value").contains(text.lower()))
+    if types:
+        rows = rows.where(F.col("type").isin(*types))
+    if results:
+        rows = rows.where(F.coalesce("result", F.lit("open")).isin(*results))
+    if matched is not None:
+        rows = rows.where(F.col("matched_id").isNotNull() if matched else F.col("matched_id").isNull())
+    return rows
+
+
+def move_preview(items: DataFrame, source: int, target: int) -> DataFrame:
+    """What moving a source would do: rows that move, and those of them whose value the target has already."""
+    key = [F.col("observable_type"), F.lower("observable").alias("v")]
+    there = items.where(F.col("ioc_source_id") == target).select(*key).distinct().withColumn("there", F.lit(True))
+    rows = items.where(F.col("ioc_source_id") == source).select("id", *key).join(there, ["observable_type", "v"], "left")
+    return rows.agg(F.count("*").alias("moving"), F.count_if(F.coalesce("there", F.lit(False))).alias("already_there"))
+
+
+def removal(items: DataFrame, source: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that stay when a source is removed, and those that go with it."""
+    own = F.coalesce(F.col("ioc_source_id") == source, F.lit(False))
+    return items.where(~own), items.where(own)
+
+
+def superseded_reports(reports: DataFrame, url_col: str = "url") -> DataFrame:
+    """Reports with the one of the same address that replaces them: the newest, then the largest id."""
+    keyed = reports.withColumn("key", report_key(url_col)).where("key <> ''")
+    last = keyed.groupBy("key").agg(F.max(F.struct("published", "report_id")).alias("last"))
+    return keyed.join(last, "key").where(F.col("report_id") != F.col("last.report_id")).select("report_id", F.col("last.report_id").alias("superseded_by"))
+
+
+def swept(stored: DataFrame, fresh: DataFrame, slice_: int, slices: int, after: str = "", most: int = 1000) -> DataFrame:
+    """The next differences of one slice of a projection, from a cursor on: identity_key and what is wrong with it."""
+    here = lambda df: df.where((bucket("identity_key", slices) == slice_) & (F.col("identity_key") > after))
+    o, n = here(stored).select("identity_key", F.col("fingerprint").alias("was")), here(fresh).select("identity_key", F.col("fingerprint").alias("now"))
+    kind = F.when(F.col("was").isNull(), "missing").when(F.col("now").isNull(), "extra").when(F.col("was") != F.col("now"), "differs")
+    return o.join(n, "identity_key", "full").select("identity_key", kind.alias("fault")).where("fault is not null").orderBy("identity_key").limit(most)

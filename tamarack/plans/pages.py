@@ -242,3 +242,55 @@ def usage_counters(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_id") % 2 == 0, "ip").otherwise("url")
     calls = t.events.select(F.to_date("ts").alias("day"), (F.col("user_id") % 3).alias("provider"), kind.alias("type"), "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"), F.floor(F.col("value") * 1000).alias("micros"))
     return reports.usage_counters(calls, hit=F.col("event_type") == "purchase", failed=F.col("event_type") == "error")
+
+
+# ---- candidates, sources, sweeps -----------------------------------------------------------------------------------
+CANDIDATES = """SELECT c.report_id, c.id, c.observable_type AS type, i.observable AS value, CASE c.id % 5 WHEN 0 THEN 'context' WHEN 1 THEN 'malicious' END AS assessment, CASE c.id % 7 WHEN 0 THEN 'invalid' ELSE 'matched' END AS match_state, CASE c.id % 11 WHEN 0 THEN 'rejected' WHEN 1 THEN 'approved' END AS review,
+  CASE c.id % 13 WHEN 0 THEN '{{"reserved":true}}' WHEN 1 THEN '{{"reserved":false}}' WHEN 2 THEN '{{"parser_metadata":true}}' END AS flags, CASE WHEN c.id % 3 = 0 THEN NULL ELSE c.id END AS matched_id, CASE c.id % 4 WHEN 0 THEN 'member' WHEN 1 THEN 'excluded' END AS result FROM {candidates} c JOIN {items} i ON i.id = c.id AND i.observable_type = c.observable_type"""
+
+
+def _candidates(t: Tables) -> DataFrame:
+    return t.spark.sql(CANDIDATES, candidates=t.candidates, items=t.items)
+
+
+MADE = "made AS (" + CANDIDATES.format(candidates="candidates", items="items") + ")"
+
+
+@query("candidates items", f"""WITH {MADE} SELECT report_id, id FROM made WHERE type IN ('ip', 'domain', 'url') AND coalesce(assessment, '') <> 'context' AND match_state <> 'invalid' AND coalesce(review, '') <> 'rejected' AND id % 13 NOT IN (0, 2)""")
+def indicator_gates(t: Tables) -> DataFrame:
+    return jobs.indicator_gates(_candidates(t), ("ip", "domain", "url")).select("report_id", "id")
+
+
+@query("candidates items", f"WITH {MADE} SELECT report_id, id FROM made WHERE lower(value) LIKE '%1%' AND type IN ('domain', 'ip') AND coalesce(result, 'open') IN ('member', 'open') AND matched_id IS NOT NULL")
+def candidate_list(t: Tables) -> DataFrame:
+    return jobs.candidate_list(_candidates(t), "1", ("domain", "ip"), ("member", "open"), True).select("report_id", "id")
+
+
+@query("items", "SELECT (SELECT count(*) FROM items WHERE ioc_source_id = 2) AS moving, (SELECT count(*) FROM items a WHERE ioc_source_id = 2 AND EXISTS (SELECT 1 FROM items b WHERE b.ioc_source_id = 3 AND b.observable_type = a.observable_type AND lower(b.observable) = lower(a.observable))) AS already_there")
+def source_move_preview(t: Tables) -> DataFrame:
+    return jobs.move_preview(t.items, 2, 3)
+
+
+@query("items", "SELECT 'stays' AS what, count(*) AS n, sum(id)::BIGINT AS ids FROM items WHERE ioc_source_id IS DISTINCT FROM 1 UNION ALL SELECT 'goes', count(*), sum(id)::BIGINT FROM items WHERE ioc_source_id = 1")
+def source_removal(t: Tables) -> DataFrame:
+    stays, goes = jobs.removal(t.items, 1)
+    counted = lambda df, what: df.agg(F.count("*").alias("n"), F.sum("id").alias("ids")).select(F.lit(what).alias("what"), "n", "ids")
+    return counted(stays, "stays").union(counted(goes, "goes"))
+
+
+@query("", """WITH r AS (SELECT c_custkey AS report_id, 'site' || (c_custkey % 40) || '.org/p' AS key, c_custkey % 3 AS published FROM customer), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY published DESC, report_id DESC) AS pick, first_value(report_id) OVER (PARTITION BY key ORDER BY published DESC, report_id DESC) AS last FROM r)
+  SELECT report_id, last AS superseded_by FROM l WHERE pick > 1""")
+def superseded_duplicates(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = t.customer.select(k.alias("report_id"), F.concat(F.lit("https://www.Site"), k % 40, F.lit(".org/p"), F.when(k % 2 == 0, "/").otherwise("#a")).alias("url"), (k % 3).alias("published"))
+    return jobs.superseded_reports(rows)
+
+
+@query(SEARCH_VIEWS, f"""WITH {WIDE_ROWS}, {PROJECTED}, n AS (SELECT * FROM best WHERE pick = 1), ob AS (SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY recency DESC, CASE WHEN lower(observable) = lower(primary_value) AND observable_type = primary_type THEN 0 ELSE 1 END,
+    CASE observable_type WHEN 'sha256' THEN 0 WHEN 'sha1' THEN 1 WHEN 'md5' THEN 2 ELSE 9 END, id) AS p2 FROM annotated WHERE id % 10 >= 3), o AS (SELECT * FROM ob WHERE p2 = 1),
+  d AS (SELECT coalesce(o.identity_key, n.identity_key) AS identity_key, CASE WHEN o.identity_key IS NULL THEN 'missing' WHEN n.identity_key IS NULL THEN 'extra' WHEN (o.observable, o.recency, o.score) IS DISTINCT FROM (n.observable, n.recency, n.score) THEN 'differs' END AS fault FROM o FULL JOIN n ON n.identity_key = o.identity_key)
+  SELECT identity_key, fault FROM d WHERE fault IS NOT NULL AND identity_key > 'a:a2' AND (('0x' || substr(sha256(identity_key), 1, 8))::BIGINT & 3) = 1 ORDER BY identity_key LIMIT 20""")
+def reconciliation_sweep(t: Tables) -> DataFrame:
+    """The next faults of a slice of an old projection, after a cursor."""
+    older = publish.projection(t, WIDE, NOW, t.items.where("id % 10 >= 3"))
+    return jobs.swept(older, publish.projection(t, WIDE, NOW), 1, 4, "a:a2", 20)
