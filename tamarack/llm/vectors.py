@@ -1,4 +1,4 @@
-"""Vectors as fixed-width binary values, and the grid on which a query set meets all rows in blocks."""
+"""Usable vectors, their matrices, and the ranking of what queries find."""
 
 from __future__ import annotations
 
@@ -26,22 +26,6 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int, kind: type = np.float64
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, dim)
 
 
-def grid(queries: DataFrame, rows: DataFrame, cell: list[str], block_rows: int, block_queries: int) -> tuple[DataFrame, DataFrame]:
-    """Deals both sides into blocks of a cell, so that each block of queries meets each block of rows once.
-
-    Adds the columns b and q. Blocks per cell follow the counts of the cell, so a full cell is spread over many tasks.
-    """
-    def counted(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy(*cell).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-
-    blocks = counted(rows, block_rows, "nb").join(counted(queries, block_queries, "nq"), cell)
-    own = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
-    all_ = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    left = queries.join(blocks, cell).withColumn("q", own("nq")).withColumn("b", all_("nb")).drop("nb", "nq")
-    right = rows.join(blocks, cell).withColumn("b", own("nb")).withColumn("q", all_("nq")).drop("nb", "nq")
-    return left, right
-
-
 def ranked(found: DataFrame, k: int, best: Column) -> DataFrame:
     """The first k of each query by the order given, ties to the smaller id: query_id, rank, vec_id, score."""
     order = Window.partitionBy("query_id").orderBy(best, "vec_id")
