@@ -7,7 +7,8 @@ kept, first in a task, then over all tasks. Exact vectors are read for those alo
 first as many as are likely to do, then whatever an upper bound still lets reach the k-th best product found.
 
 Queries go to the tasks in blocks of bounded size, one block after the other, so that neither vectors nor cells are
-shuffled; what is shuffled are candidates.
+shuffled; what is shuffled are candidates. A scan of one of SAMPLE rows comes first: its k-th best lower bound holds for
+all rows, so in the whole scan a query's candidates don't grow with the number of tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from tamarack.llm.vectors import matrix, ranked, usable
 SCALE, BITS = 64, 6
 #: Bytes of the queries of a block, rows and queries that are bounded at once, and chunks after which a task sifts.
 BLOCK_BYTES, ROWS, QUERIES, CHUNKS = 8 << 20, 16384, 256, 16
+SAMPLE = 4
 
 
 class Cells:
@@ -56,10 +58,10 @@ class Cells:
 class Sieve:
     """What may be among the k best of each of some queries, of all the rows of a task seen so far."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, cells: Cells, repeated: bool):
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, k: int, cells: Cells, repeated: bool):
         self.rows, self.ids, self.q, self.k, self.cells, self.repeated = rows, ids, q, k, cells, repeated
         self.kind, self.slack = cells.kind(q)
-        self.reach = np.full(len(q), -np.inf)
+        self.reach = reach.copy()
         self.kept: list[tuple] = []
         self.chunks = 0
 
@@ -116,7 +118,7 @@ def _approximated(grids: dict[int, Cells]):
 
 
 def _scan(blocks: dict[int, tuple], grids: dict[int, Cells], k: int, repeated: bool):
-    """blocks: for each dimension the numbers, ids and vectors of queries."""
+    """blocks: for each dimension the numbers, ids and vectors of queries, and what their k-th products reach at least."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieves = {dim: Sieve(*block, k, grids[dim], repeated) for dim, block in blocks.items() if dim in grids}
@@ -218,7 +220,13 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
         for r in here.select("query", "id", "dim", "v").collect():
             blocks.setdefault(r.dim, []).append((r.query, r.id, r.v))
         arrays = {dim: tuple(np.array(x, np.int64) for x in zip(*held)) for dim, held in blocks.items()}
-        candidates = file.select("dim", "id", "cells").mapInArrow(_scan(arrays, grids, k, repeated), "query long, vec_id long, lower double, upper double")
+        cells, kinds = file.select("dim", "id", "cells"), "query long, vec_id long, lower double, upper double"
+        unknown = {dim: (*held, np.full(len(held[0]), -np.inf)) for dim, held in arrays.items()}
+        some = cells.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(_scan(unknown, grids, k, repeated), kinds)
+        # a number for each query of the block
+        sure = {r.query: r.kth for r in _kth(some.groupBy("query", "vec_id").agg(F.max("lower").alias("lower")), "lower", k).collect()}
+        known = {dim: (*held, np.array([sure.get(q, -np.inf) for q in held[0].tolist()])) for dim, held in arrays.items()}
+        candidates = cells.mapInArrow(_scan(known, grids, k, repeated), kinds)
         parts.append(durable(_best(candidates, here.select("query", "dim", F.col("v").alias("q")), file, k)))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
