@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from tamarack.llm.common import durable, numbered
 from tamarack.llm.vectors import matrix, ranked, usable
 
-SCALE, BITS = 64, 6
+SCALE, BITS = 64, 8
 #: Bytes of the queries of a block, rows and queries that are bounded at once, and chunks after which a task sifts.
 BLOCK_BYTES, ROWS, QUERIES, CHUNKS = 8 << 20, 16384, 256, 16
 SAMPLE = 4
