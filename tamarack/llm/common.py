@@ -59,6 +59,15 @@ def numbered(df: DataFrame, keys: list[str], name: str = "row") -> DataFrame:
     return durable(placed.select(*df.columns, (F.col("first") + F.col("inside") - 1).alias(name)))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that deals out both sides, whatever it is thought to hold.
+
+    Spark knows a table by the size of its files; some MB of packed ids are a hundred MB and more as a broadcast table,
+    which the driver builds and keeps. So only what has a bound is broadcast, by name, and all else is dealt.
+    """
+    return df.hint("merge")
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], how: str, weight: str, total: int, most: int = 1000) -> DataFrame:
     """rows joined (inner or left) with one row for each group, where a group may hold any part of the rows.
 

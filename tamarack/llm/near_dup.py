@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import M1, durable, mix64, piece_hashes, slices, spread_join, utf8_view
+from tamarack.llm.common import M1, dealt, durable, mix64, piece_hashes, slices, spread_join, utf8_view
 
 WORDS = 5
 PERCENT = 75
@@ -187,7 +187,7 @@ def _links_across(table: pa.Table) -> pa.Table:
 
 def _in_blocks(rows: DataFrame, group: str, members: DataFrame, size: int) -> DataFrame:
     """Each row of a group once for every pair of blocks that its own is part of: columns block, low, high."""
-    rows = durable(rows.join(members, group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int")).withColumn("block", F.expr("cast(pmod(hash(id), blocks) as int)")).drop("members"))
+    rows = durable(rows.join(dealt(members), group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int")).withColumn("block", F.expr("cast(pmod(hash(id), blocks) as int)")).drop("members"))
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as low, greatest(x, block) as high))")
     many = rows.where("blocks > 1").withColumn("at", F.explode(pairs)).select("*", "at.low", "at.high").drop("at")
     one = rows.where("blocks = 1").withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
@@ -215,9 +215,9 @@ def _confirm(table: pa.Table) -> pa.Table:
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (center, id) that are links, as (u, v). Centers of many pairs are dealt out in blocks."""
     load = pairs.groupBy("center").agg(F.count("*").alias("load"))
-    pairs = pairs.join(load, "center").select("center", "id", F.expr(f"cast(pmod(hash(id), ceil(load / {TOGETHER})) as int)").alias("part"))
+    pairs = pairs.join(dealt(load), "center").select("center", "id", F.expr(f"cast(pmod(hash(id), ceil(load / {TOGETHER})) as int)").alias("part"))
     wanted = pairs.union(pairs.select("center", F.col("center").alias("id"), "part").distinct())
-    return wanted.join(texts, "id").groupBy("center", "part").applyInArrow(_confirm, "u long, v long")
+    return wanted.join(dealt(texts), "id").groupBy("center", "part").applyInArrow(_confirm, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,9 +232,9 @@ def components(links: DataFrame) -> DataFrame:
         total = edges.count()
         # a node with very many edges is looked up by all of them where they are
         least = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).select("u", F.least("u", "m").alias("m"), "edges"))
-        large = durable(spread_join(both, least, ["u"], "inner", "edges", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        large = durable(spread_join(both, dealt(least), ["u"], "inner", "edges", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u > v")
+        small = large.join(dealt(low), "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u > v")
         edges = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
@@ -259,23 +259,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sets.where("id is not null and n > 0")
     classes = durable(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     # the smallest id of a class has its sketch; an id of several texts stays once for each
-    reps = durable(spread_join(known, classes, ["h1", "h2"], "inner", "copies", sets.count()).where("id = rep").select("id", "n", "sketch").distinct())
+    reps = durable(spread_join(known, dealt(classes), ["h1", "h2"], "inner", "copies", sets.count()).where("id = rep").select("id", "n", "sketch").distinct())
 
     listed = reps.mapInArrow(_lists, "key long, id long")
     lists = listed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("center")).where("members > 1")
-    members = durable(listed.join(lists, "key").select("key", "id", "center"))
-    sketch = reps.select("id", "sketch")
+    members = durable(listed.join(dealt(lists), "key").select("key", "id", "center"))
+    sketch = dealt(reps.select("id", "sketch"))
     pairs = members.where("id != center").select("center", "id").distinct()
-    pairs = pairs.join(sketch, "id").join(sketch.select(F.col("id").alias("center"), F.col("sketch").alias("other")), "center")
+    pairs = pairs.join(sketch, "id").join(dealt(reps.select(F.col("id").alias("center"), F.col("sketch").alias("other"))), "center")
     pairs = durable(pairs.select("center", "id", "sketch", "other").mapInArrow(_plausible, "center long, id long"))
-    listed_texts = durable(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]))
+    listed_texts = durable(texts.join(dealt(members.select("id").distinct()), "id", "left_semi").dropDuplicates(["id", "text"]))
     # texts of one id are one document
     several = known.groupBy("id").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where("a <> b or c <> d").select("id")
-    same = known.join(several, "id", "left_semi").join(classes, ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    same = known.join(dealt(several), "id", "left_semi").join(dealt(classes), ["h1", "h2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     links = durable(_confirmed(pairs, listed_texts).union(same))
     labels = components(links)
 
-    held = durable(members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("key", "id", "center", F.coalesce("label", "id").alias("label")))
+    held = durable(members.join(dealt(labels.select(F.col("node").alias("id"), "label")), "id", "left").select("key", "id", "center", F.coalesce("label", "id").alias("label")))
     others = F.when(F.col("id") != F.col("center"), F.col("label"))
     mixed = held.groupBy("key").agg(F.count("*").alias("members"), F.min(others).alias("a"), F.max(others).alias("b"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same")).where("a != b")
     # lists with the same members are searched once
@@ -285,15 +285,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not maybe.isEmpty():
         families = components(maybe).select(F.col("node").alias("id"), F.col("label").alias("family"))
         families = families.union(families.select(F.col("family").alias("id"), "family").distinct())
-        families = durable(families.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", "family", F.coalesce("label", "id").alias("label")))
+        families = durable(families.join(dealt(labels.select(F.col("node").alias("id"), "label")), "id", "left").select("id", "family", F.coalesce("label", "id").alias("label")))
         members = families.groupBy("family").agg(F.count("*").alias("members"))
-        spread = _in_blocks(families, "family", members, TOGETHER).join(listed_texts, "id")
+        spread = _in_blocks(families, "family", members, TOGETHER).join(dealt(listed_texts), "id")
         links = links.union(spread.groupBy("family", "low", "high").applyInArrow(_links_across, "u long, v long"))
         labels = components(links)
 
-    in_class = durable(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_label"), "copies"))
+    in_class = durable(classes.join(dealt(labels.withColumnRenamed("node", "rep")), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_label"), "copies"))
     # an id with several texts joins their classes
-    lone = spread_join(sets.select("id", "n", "h1", "h2"), in_class, ["h1", "h2"], "left", "copies", sets.count()).withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class_label")), F.col("id"))))
+    lone = spread_join(sets.select("id", "n", "h1", "h2"), dealt(in_class), ["h1", "h2"], "left", "copies", sets.count()).withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("class_label")), F.col("id"))))
     return lone.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 

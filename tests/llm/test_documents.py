@@ -545,6 +545,21 @@ def test_ids_of_pieces_with_one_hash(monkeypatch, rows, module):
     assert [x.tolist() for x in got] == want
 
 
+def test_near_duplicates_broadcast_only_what_has_a_bound(spark, rows, monkeypatch):
+    """However small a table's files are, a join deals it out unless its rows are bounded (by name, in spread_join)."""
+    plans, write = [], near_dup.durable
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(near_dup, "durable", seen)
+    seen(near_dup.near_duplicates(frame(spark, rows)))
+    joins = [x for p in plans for x in p.splitlines() if re.search(r"\bJoin (Inner|Left)", x)]
+    assert len(joins) > 20
+    assert [x for x in joins if "strategy=merge" not in x and "strategy=broadcast" not in x] == []
+
+
 def test_near_duplicates_in_small_blocks(spark, rows, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 3)
     monkeypatch.setattr(near_dup, "TOGETHER", 2)
