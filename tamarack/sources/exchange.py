@@ -75,9 +75,9 @@ def phishtank(records: DataFrame) -> DataFrame:
     return live.select("phish_id", F.lit("url").alias("observable_type"), normal_url("url").alias("observable"), F.col("submission_time").alias("first_seen")).where("observable <> ''")
 
 
-def drop_list(texts: DataFrame, column: str = "value") -> DataFrame:
+def drop_list(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Networks of a drop list, a JSON object a line; lines without a network (metadata) are left out."""
-    return network_list(texts.select(F.get_json_object(column, "$.cidr").alias("cidr")).where("cidr is not null"))
+    return network_list(texts.select(*keep, F.get_json_object(column, "$.cidr").alias("cidr")).where("cidr is not null"), keep=keep)
 
 
 def block_list(texts: DataFrame, column: str = "value") -> DataFrame:

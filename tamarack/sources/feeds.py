@@ -170,9 +170,9 @@ def certpl_skipped(records: DataFrame) -> DataFrame:
     return first.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).union(kept).where("n > 0")
 
 
-def network_list(records: DataFrame, column: str = "cidr") -> DataFrame:
-    """lo, hi and bits of the IPv4 networks of a list."""
+def network_list(records: DataFrame, column: str = "cidr", keep: tuple[str, ...] = ()) -> DataFrame:
+    """lo, hi and bits of the IPv4 networks of a list, after the columns that are kept."""
     n, bits = ipv4_number(F.substring_index(column, "/", 1)), F.substring_index(column, "/", -1).try_cast("int")
     size = F.pow(F.lit(2), F.lit(32) - bits).cast("long")
     lo = n - F.pmod(n, size)
-    return records.where(F.col(column).contains("/")).select(lo.alias("lo"), (lo + size - 1).alias("hi"), bits.alias("bits")).where("lo is not null and bits between 1 and 32").distinct()
+    return records.where(F.col(column).contains("/")).select(*keep, lo.alias("lo"), (lo + size - 1).alias("hi"), bits.alias("bits")).where("lo is not null and bits between 1 and 32").distinct()

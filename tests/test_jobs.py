@@ -2,9 +2,11 @@
 
 from datetime import datetime
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tamarack.operators import jobs
+from tamarack.plans import registry
 from tamarack.sources import exchange
 
 
@@ -72,3 +74,12 @@ def test_percentile(spark):
 def test_latest_run(spark):
     runs = spark.createDataFrame([("f", 1, "x"), ("f", None, "y"), ("f", 3, "z"), ("g", None, "w")], "feed string, at int, state string")
     assert {r.feed: r.state for r in jobs.latest_run(runs, "feed", "at").collect()} == {"f": "z", "g": "w"}
+
+
+def test_drop_list_of_large_keys(spark, tmp_path):
+    keys = [1, 222, 223, 65535, 65536, 65537, 89999, 900_000, 2_162_687, 2_162_688, 2_200_000, 16_777_216, 60_000_000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted(map(tuple, registry.queries()["drop_list"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(db.execute(f"SELECT lo, hi, bits FROM ({registry.oracle_sql()['drop_list']})").fetchall())
