@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -264,6 +268,30 @@ def chunk_files(rows: DataFrame, count: int) -> DataFrame:
     return chunks.withColumn("etag", F.concat(F.lit('"'), F.substring("content_sha256", 1, 32), F.lit('"')))
 
 
+def chunk_digests(rows: DataFrame, count: int) -> DataFrame:
+    """chunk_files without the texts, for any count: a chunk's lines are sorted and hashed as they come, so it needs no bound."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([items], pa.int64()), pa.array([digest.hexdigest()])], ["chunk_key", "items", "content_sha256"])
+        at, items, digest = None, 0, hashlib.sha256()
+        for batch in batches:
+            for key, found in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), lambda x: x[0]):
+                if key != at:
+                    if items:
+                        yield done()
+                    at, items, digest = key, 0, hashlib.sha256()
+                lines = [line for _, line in found]
+                items += len(lines)
+                digest.update(("\n".join(lines) + "\n").encode())
+        if items:
+            yield done()
+
+    key = F.concat(F.lit("o:"), "observable_type", F.lit(":"), F.lower("line"))
+    dealt = rows.select(bucket(key, count).alias("chunk_key"), "line").repartition("chunk_key").sortWithinPartitions("chunk_key", "line")
+    chunks = dealt.mapInArrow(digests, "chunk_key int, items long, content_sha256 string")
+    return chunks.withColumn("etag", F.concat(F.lit('"'), F.substring("content_sha256", 1, 32), F.lit('"')))
+
+
 def write_chunks(chunks: DataFrame, folder: str) -> None:
     """One folder for each chunk, with its text, and the manifest beside them."""
     chunks.select("chunk_key", F.expr("rtrim('\n', text)").alias("value")).write.partitionBy("chunk_key").mode("overwrite").text(f"{folder}/chunks")

@@ -2,15 +2,18 @@
 
 from datetime import UTC, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions import documents, text
 from tamarack.operators import jobs, joins, paging, publish, reports
+from tamarack.plans import registry
 from tamarack.sources import feeds, records
 from tamarack.streaming import ingest
 
 NOW = datetime(2024, 3, 1, tzinfo=UTC)
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_cursors_keep_microseconds():
@@ -86,6 +89,28 @@ def test_chunk_files_are_written(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "manifest")).agg(F.sum("items")).first()[0] == 50
 
 
+def test_chunk_digests_are_those_of_the_files(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("h\u00e9"), "id", F.lit(".com")).alias("line"), F.lit("domain").alias("observable_type"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = publish.chunk_digests(rows, 8).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = publish.chunk_files(rows, 8).drop("text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 8
+    assert publish.chunk_digests(rows.where("false"), 8).count() == 0
+
+
+def test_a_large_feed_has_the_chunks_of_its_sql(spark, monkeypatch):
+    monkeypatch.setattr(publish, "CHUNK_ROWS", 2)  # as if the rows were 2500 times as many
+    got = registry.queries()["published_chunk_files"](spark, SMALL).collect()
+    db = duckdb.connect()
+    db.execute(f"create view orders as select * from '{SMALL}/orders.parquet'")
+    want = db.execute(f"SELECT chunk_key, items, content_sha256, etag FROM ({registry.oracle_sql()['published_chunk_files']})").fetchall()
+    assert publish.chunk_count(sum(r.items for r in got)) > 64
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_bulk_actions_and_modes(spark):
     rows = spark.createDataFrame([(1, "ip", "active", "Malware"), (2, "ip", "disabled", None), (3, "ip", None, None)], "id long, observable_type string, status string, threat_classification string")
     got = {a: {r.id: r.outcome for r in jobs.bulk_outcomes(rows, a, "Malware").collect()} for a in jobs.BULK_ACTIONS}
