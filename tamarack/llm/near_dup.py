@@ -305,5 +305,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = near_duplicates(docs, id_col, text_col).where(f"kept and `{id_col}` is not null").select(F.col(id_col).alias("kept_id")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("kept_id"))
     # dealt by id already for the join
-    first = rows.join(kept, "kept_id").dropDuplicates(["kept_id"]).select("row")
+    first = rows.join(dealt(kept), "kept_id").dropDuplicates(["kept_id"]).select("row")
     return first.union(rows.where("kept_id is null").select("row")).select("row.*")

@@ -554,7 +554,7 @@ def test_near_duplicates_broadcast_only_what_has_a_bound(spark, rows, monkeypatc
         return write(df)
 
     monkeypatch.setattr(near_dup, "durable", seen)
-    seen(near_dup.near_duplicates(frame(spark, rows)))
+    seen(near_dup.one_of_each(frame(spark, rows)))
     joins = [x for p in plans for x in p.splitlines() if re.search(r"\bJoin (Inner|Left)", x)]
     assert len(joins) > 20
     assert [x for x in joins if "strategy=merge" not in x and "strategy=broadcast" not in x] == []
